@@ -58,3 +58,96 @@ def byte_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, off
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df for the right side of a join: broadcast if it has at most so many (narrow) rows, else as it is. df is read twice, so it should be stored."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of docs whose id is not in ids, a stored table of one column; null ids stay."""
+    gone = ids.toDF("_gone")
+    return docs.join(small(gone), docs[doc_id] == F.col("_gone"), "left_anti")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (splitmix64's finaliser)."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least one that it is connected with, without those to itself."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    half = len(a)
+    for x, y in zip(ends[:half].tolist(), ends[half:].tolist()):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    root = np.array(parent, np.int64)
+    while len(root) and (root != (up := root[root])).any():
+        root = up
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
+def _forests(batches):
+    """Replaces the edges of a run of batches by a spanning forest of them."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def out():
+        a, b = forest(*(np.concatenate(x) for x in zip(*kept)))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        kept.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        n += batch.num_rows
+        if n > 500_000:
+            yield out()
+            kept, n = [], 0
+    if kept:
+        yield out()
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) for each node of edges (a, b: long): root is the least node connected with it.
+
+    Alternating large-star and small-star steps over the edges, each step's edges stored in the shared folder
+    until they stay the same. Tasks first replace their edges by spanning forests, so hubs shrink before
+    they are shuffled; nothing but a count and a checksum reaches the driver.
+    """
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
+        df = stored(df, f"{name}-{step}")
+        return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    current, mark = kept(edges.select("a", "b").filter("a <> b").mapInArrow(_forests, "a long, b long").distinct(), 0)
+    for step in range(1, 60):
+        if not mark[0]:
+            break
+        both = current.union(current.select("b", "a")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("k")).filter("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        other = large.join(low.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        following, new = kept(low.select("a", F.col("m").alias("b")).union(other).distinct(), step)
+        dropped(spark, current)
+        current, same, mark = following, new == mark, new
+        if same:
+            break
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b"), F.col("b")).distinct())

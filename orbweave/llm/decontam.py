@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ascii_lower
+from orbweave.llm.common import ascii_lower, stored, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, WINDOW = 5, 6
@@ -93,6 +93,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of an item."""
-    bad = find_contamination(docs.select(doc_id, text_col), benchmark, doc_id, text_col).filter("n_hit > 0").select(F.col(doc_id).alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs without the rows whose id has a window of an item; rows without an id stay."""
+    bad = find_contamination(docs.select(doc_id, text_col), benchmark, doc_id, text_col).filter("n_hit > 0").select(doc_id).distinct()
+    return without(docs, stored(bad, "contaminated"), doc_id)
