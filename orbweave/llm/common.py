@@ -151,3 +151,32 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if same:
             break
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b"), F.col("b")).distinct())
+
+
+#: Odd multipliers for hashes.
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+BASE = 0x5851F42D4C957F2D
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD[0])
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers from 0 to n."""
+    if len(_POWERS[0]) <= n:
+        for i, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(n + 1, b, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.multiply.accumulate(p)
+    return _POWERS[0], _POWERS[1]
+
+
+class Prints:
+    """64-bit fingerprints of any range of some bytes: polynomials over a random value for each byte."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _powers(len(raw))
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUE[raw] * up[: len(raw)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD[1])

@@ -28,40 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import byte_view, mixed, parts_of, small, stored
+from orbweave.llm.common import ODD, Prints, byte_view, mixed, parts_of, small, stored
 from orbweave.llm.encoder import sliced
-from orbweave.llm.jaccard import ODD
 
 SPAN, LEAD, CELL, HOT = 400, 64, 85, 1000
 REACH = SPAN - LEAD + 1  # places for an anchor in a window
-BASE = 0x5851F42D4C957F2D
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
 ANCHOR = "id long, th long, pos int, o1 int, o2 int, first long, lead long, cover long"
 RUN = "id long, th long, a long, b long"
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD[0])
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers from 0 to n."""
-    if len(_POWERS[0]) <= n:
-        for i, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(n + 1, b, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
-
-
-class Prints:
-    """Fingerprints of any range of some bytes."""
-
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _powers(len(raw))
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUE[raw] * up[: len(raw)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD[1])
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, prints: Prints) -> tuple[np.ndarray, ...]:
