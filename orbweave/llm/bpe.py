@@ -208,7 +208,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: b
     def run(batches):
         bpe = model(tokenizer)
         for whole in batches:
-            for batch in sliced(whole, "_t", 12 << 20):
+            for batch in sliced(whole, "_t", 6 << 20):
                 ids, counts = bpe.encode(batch.column("_t").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]

@@ -116,7 +116,7 @@ def _forests(batches):
     for batch in batches:
         kept.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
         n += batch.num_rows
-        if n > 500_000:
+        if n > 200_000:
             yield out()
             kept, n = [], 0
     if kept:

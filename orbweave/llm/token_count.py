@@ -34,7 +34,7 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
         for token, i in enc.tokenizer.get_vocab(with_added_tokens=True).items():
             n_bytes[i] = len(token)  # a character of a byte-level token stands for a byte
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", 4 << 20):
                 raw, off = byte_view(batch.column("text"))
                 raw, off = raw[off[0] : off[-1]], off - off[0]
                 ids, _ = enc.encode(batch.column("text").to_pylist())

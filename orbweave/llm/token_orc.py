@@ -34,7 +34,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_i
     def encode(batches):
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", 4 << 20):
                 ids, counts = enc.encode(batch.column("text").to_pylist())
                 upto = np.cumsum(counts)
                 ids = np.insert(ids, upto, end_id).astype(np.int32)
