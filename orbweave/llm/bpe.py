@@ -28,9 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.llm.common import small_batches
 from orbweave.llm.encoder import gathered, sliced
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -201,6 +202,7 @@ def model(path: str) -> PairIndexBpe:
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: bool = False, round_trip: bool = False) -> DataFrame:
     """docs with ids (array<int>) and, with round_trip, decoded; the text goes unless keep_text."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_t")
@@ -208,7 +210,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: b
     def run(batches):
         bpe = model(tokenizer)
         for whole in batches:
-            for batch in sliced(whole, "_t", 6 << 20):
+            for batch in sliced(whole, "_t", 4 << 20):
                 ids, counts = bpe.encode(batch.column("_t").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]

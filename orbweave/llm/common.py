@@ -45,6 +45,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Texts go to Python in Arrow batches of 500 rows at most: a worker's memory then follows a slice, not a batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 501):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return spark
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

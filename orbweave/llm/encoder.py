@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHED_IDS = 6_000_000
+CACHED_IDS = 1_000_000
 CUT = re.compile(r" (?=\S)").split
 
 
@@ -62,9 +62,13 @@ class PieceEncoder:
                     used.extend(map(tail, rest))
             ends[i] = len(used)
         if self.pending:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(self.pending, add_special_tokens=False)]
-            self.length = np.concatenate([self.length, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.int32, int(self.length[-len(got) :].sum()))])
+            flats, lengths = [self.flat], [self.length]
+            for k in range(0, len(self.pending), 10_000):
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(self.pending[k : k + 10_000], add_special_tokens=False)]
+                n = np.fromiter(map(len, got), np.int64, len(got))
+                flats.append(np.fromiter((x for g in got for x in g), np.int32, int(n.sum())))
+                lengths.append(n)
+            self.flat, self.length = np.concatenate(flats), np.concatenate(lengths)
             self.pending = []
         ids = gathered(self.flat, np.cumsum(self.length) - self.length, self.length, code := np.array(used, np.int64))
         upto = np.concatenate([[0], np.cumsum(self.length[code])])[ends]
@@ -89,7 +93,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def sliced(batch, column: str, most: int = 2 << 20):
+def sliced(batch, column: str, most: int = 1 << 20):
     """Runs of rows of an Arrow batch with about most bytes of text each, so that memory follows no batch size."""
     import pyarrow.compute as pc
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import byte_view
+from orbweave.llm.common import byte_view, small_batches
 from orbweave.llm.encoder import sliced
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 6, 2
@@ -126,6 +126,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", doc_id: str = "doc_id", text_col: str = "text") -> Network:
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label_col).alias("_label"))
     known = known.orderBy(F.xxhash64(F.lit(7), doc_id), doc_id).limit(SAMPLE)  # a top-k in each task, then one
     texts = docs.select(doc_id, F.col(text_col).alias("_text")).join(F.broadcast(known), doc_id)
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", doc_id
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with score; every byte of every text counts."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score" and (keep_text or c != text_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")

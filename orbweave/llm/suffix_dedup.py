@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ODD, Prints, byte_view, mixed, parts_of, small, stored
+from orbweave.llm.common import ODD, Prints, byte_view, mixed, parts_of, small, small_batches, stored
 from orbweave.llm.encoder import sliced
 
 SPAN, LEAD, CELL, HOT = 400, 64, 85, 1000
@@ -187,6 +187,7 @@ def _single(batches):
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, runs): for texts (th: their xxhash64) with repeats, the runs [a, b) of bytes that repeated strings cover, in no order, perhaps overlapping."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= SPAN)
     posts = stored(texts.mapInArrow(_post, ANCHOR), "anchors")
     leads = stored(posts.groupBy("lead").count().filter("count > 1").select(F.col("lead").alias("k")), "leads")

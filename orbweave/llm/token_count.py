@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import byte_view
+from orbweave.llm.common import byte_view, small_batches
 from orbweave.llm.encoder import encoder, sliced
 
 SCHEMA = "section int, start long, upto long, n_tokens long, n_crossing long"
@@ -62,6 +62,7 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
                     names=["id", "section", "start", "upto", "n_tokens", "n_crossing"],
                 )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(count, f"id {kind}, {SCHEMA}").withColumnRenamed("id", doc_id)

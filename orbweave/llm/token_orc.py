@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import parts_of
+from orbweave.llm.common import parts_of, small_batches
 from orbweave.llm.encoder import encoder, sliced
 
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
@@ -27,7 +27,7 @@ FILE_SCHEMA = "part int, doc_id long, n_tokens int, ids array<int>"
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
     """Writes (part, doc_id, n_tokens, ids) to path; files: how many ranges of ids."""
-    n = files or parts_of(docs.sparkSession)
+    n = files or parts_of(small_batches(docs.sparkSession))
     quantiles = F.percentile_approx(F.col(doc_id), F.lit([i / n for i in range(1, n)]), F.lit(100 * n)) if n > 1 else F.lit(None).cast("array<long>")
     bounds = np.unique(np.array(docs.select(quantiles.alias("q")).first()["q"] or [], dtype=np.int64))
 
