@@ -11,8 +11,9 @@ stands for the run of windows that chose it (about one a hundred and seventy byt
    suffixes by their leading bytes, buckets are sorted, and within a run of equal leads each window is
    compared by its position against the anchor and its fingerprint; a lead never straddles two buckets.
    The left context counts too, which is why fingerprints stand in for common prefix lengths here.
-3. Leads with more than HOT covers aren't brought together: their windows are cut into cells, cells whose common
-   bytes are unique go, and the windows of the others are counted by partial aggregates.
+3. Leads with more than HOT covers aren't brought together: their windows are cut into ever smaller cells. Of each
+   cell, counting settles anchors whose bytes all repeat and those whose common bytes don't; the rest is cut on,
+   down to single windows. Partial aggregates do the counting, so no task meets all of a lead.
 
 Strings are judged on the input; overlapping occurrences and those in one text count. Fingerprints are 64 bit
 polynomials over random byte values, always compared together with the lead's.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import ODD, Prints, byte_view, mixed, parts_of, small, small_batches, stored
 from orbweave.llm.encoder import sliced
 
-SPAN, LEAD, CELL, HOT = 400, 64, 85, 1000
+SPAN, LEAD, HOT = 400, 64, 1000
+CELLS = (85, 9, 1)
 REACH = SPAN - LEAD + 1  # places for an anchor in a window
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
 ANCHOR = "id long, th long, pos int, o1 int, o2 int, first long, lead long, cover long"
@@ -159,30 +161,26 @@ def _compare(batches):
         yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def _cells(batches):
-    """Each wanted anchor's windows, CELL offsets together, with a print of the bytes that all offsets of the cell cover."""
-    for (ids, ths, lists), raw, off in _texts_of(batches, 3):
-        row, w = _wanted(lists, off)
-        o1, o2 = w["o1"].astype(np.int64), w["o2"].astype(np.int64)
-        n = o2 // CELL - o1 // CELL + 1
-        own = np.repeat(np.arange(len(n)), n)
-        cell = (o1 // CELL)[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        low, high = cell * CELL, np.minimum(cell * CELL + CELL - 1, REACH - 1)
-        name = mixed(Prints(raw).of(w["at"][own] - low, w["at"][own] - high + SPAN) + cell.astype(np.uint64) * ODD[2] + w["lead"].view(np.uint64)[own] * ODD[3])
-        r = pa.array(row[own])
-        values = (w["pos"][own], np.maximum(low, o1[own]).astype(np.int32), np.minimum(high, o2[own]).astype(np.int32), w["n"][own], name.view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *map(pa.array, values)], names=["id", "th", "pos", "o1", "o2", "n", "name"])
-
-
-def _single(batches):
-    """Each window of the wanted runs, with its print."""
-    for (ids, ths, lists), raw, off in _texts_of(batches, 3):
-        own, w = _wanted(lists, off)
-        row, o = _windows(w["o1"].astype(np.int64), w["o2"].astype(np.int64))
-        start = w["at"][row] - o
-        name = mixed(Prints(raw).of(start, start + SPAN) + o.astype(np.uint64) * ODD[2] + w["name"].view(np.uint64)[row] * ODD[3])
-        r = pa.array(own[row])
-        yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), pa.array((w["pos"][row] - o).astype(np.int32)), pa.array(w["n"][row]), pa.array(name.view(np.int64))], names=["id", "th", "p", "n", "name"])
+def _cells(width: int):
+    """The windows of wanted anchors, width offsets together: name tells the bytes that any window of the cell covers, cover those that all the anchor's windows in it cover."""
+
+    def run(batches):
+        for (ids, ths, lists), raw, off in _texts_of(batches, 3):
+            row, w = _wanted(lists, off)
+            o1, o2 = w["o1"].astype(np.int64), w["o2"].astype(np.int64)
+            n = o2 // width - o1 // width + 1
+            own = np.repeat(np.arange(len(n)), n)
+            cell = (o1 // width)[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            low, high = cell * width, np.minimum(cell * width + width - 1, REACH - 1)
+            at, prints = w["at"][own], Prints(raw)
+            name = mixed(prints.of(at - low, at - high + SPAN) + cell.astype(np.uint64) * ODD[2] + w["name"].view(np.uint64)[own] * ODD[3])
+            low, high = np.maximum(low, o1[own]), np.minimum(high, o2[own])
+            cover = mixed(prints.of(at - high, at - low + SPAN) + high.astype(np.uint64) * ODD[2])
+            r = pa.array(row[own])
+            values = (w["pos"][own], low.astype(np.int32), high.astype(np.int32), w["n"][own], name.view(np.int64), cover.view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *map(pa.array, values)], names=["id", "th", "pos", "o1", "o2", "n", "name", "cover"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,13 +212,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
 
     hot = stored(open_.filter("hot"), "hot")
     if hot.limit(1).count():
-        cells = stored(with_text(hot, "pos", "o1", "o2", "lead", "n").mapInArrow(_cells, "id long, th long, pos int, o1 int, o2 int, n int, name long"), "cells")
-        names = stored(cells.groupBy("name").agg(F.sum("n").alias("s"), F.min("n").alias("low")).filter("s > 1 AND low = 1").select(F.col("name").alias("k")), "names")
-        alive = cells.join(small(names), F.col("name") == F.col("k"), "left_semi")
-        singles = stored(with_text(alive, "pos", "o1", "o2", "name", "n").mapInArrow(_single, "id long, th long, p int, n int, name long"), "singles")
-        names = stored(singles.groupBy("name").agg(F.sum("n").alias("s"), F.min("n").alias("low")).filter("s > 1 AND low = 1").select(F.col("name").alias("k")), "names")
-        found = singles.join(small(names), F.col("name") == F.col("k"), "left_semi").filter("n = 1")
-        runs = runs.union(found.select("id", "th", F.col("p").cast("long"), (F.col("p") + SPAN).cast("long")))
+        alive = hot.withColumnRenamed("lead", "name")
+        for width in CELLS:
+            cells = with_text(alive, "pos", "o1", "o2", "name", "n").mapInArrow(_cells(width), "id long, th long, pos int, o1 int, o2 int, n int, name long, cover long")
+            cells = stored(cells, "cells")
+            covers = cells.groupBy("name", "cover").agg(F.sum("n").alias("s"), F.min(F.struct("id", "th", "pos", "o1", "o2")).alias("one"))
+            covers = stored(covers, "cell-covers")
+            twice = stored(covers.filter("s > 1").select(F.col("name").alias("k"), F.col("cover").alias("c")), "cell-twice")
+            found = cells.filter("n = 1").join(small(twice), (F.col("name") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
+            runs = runs.union(found.select("id", "th", (F.col("pos") - F.col("o2")).cast("long"), (F.col("pos") - F.col("o1") + SPAN).cast("long")))
+            several = stored(covers.groupBy("name").agg(F.count("*").alias("m"), F.min("s").alias("low")).filter("m > 1 AND low = 1").select(F.col("name").alias("k")), "cell-mixed")
+            alive = stored(covers.join(small(several), F.col("name") == F.col("k"), "left_semi").select("one.*", "name", F.least("s", F.lit(2)).cast("int").alias("n")), "alive")
     return runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
