@@ -93,7 +93,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def sliced(batch, column: str, most: int = 1 << 20):
+def sliced(batch, column: str, most: int = 1 << 18):
     """Runs of rows of an Arrow batch with about most bytes of text each, so that memory follows no batch size."""
     import pyarrow.compute as pc
 

@@ -183,8 +183,27 @@ def _cells(width: int):
     return run
 
 
+def _merged(batches):
+    """Lists of runs, each sorted and with those that meet made one."""
+    for batch in batches:
+        lists = batch.column("runs")
+        parts = np.asarray(lists.offsets).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), np.diff(parts))
+        a, b = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], b[order]
+        far = b + row * (apart := int(b.max()) + 1)  # ends rise from text to text, so a running maximum stays in its text
+        before = np.concatenate([[-1], np.maximum.accumulate(far)[:-1]])
+        new = np.flatnonzero(a + row * apart > before)
+        end = np.maximum.reduceat(b, new)
+        counts = np.bincount(row[new], minlength=len(lists))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(end)], names=["a", "b"]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), runs], names=["id", "th", "runs"])
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, runs): for texts (th: their xxhash64) with repeats, the runs [a, b) of bytes that repeated strings cover, in no order, perhaps overlapping."""
+    """(id, th, runs): for texts (th: their xxhash64) with repeats, the disjoint runs [a, b) of bytes that repeated strings cover, in order."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= SPAN)
     posts = stored(texts.mapInArrow(_post, ANCHOR), "anchors")
@@ -223,7 +242,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
             runs = runs.union(found.select("id", "th", (F.col("pos") - F.col("o2")).cast("long"), (F.col("pos") - F.col("o1") + SPAN).cast("long")))
             several = stored(covers.groupBy("name").agg(F.count("*").alias("m"), F.min("s").alias("low")).filter("m > 1 AND low = 1").select(F.col("name").alias("k")), "cell-mixed")
             alive = stored(covers.join(small(several), F.col("name") == F.col("k"), "left_semi").select("one.*", "name", F.least("s", F.lit(2)).cast("int").alias("n")), "alive")
-    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")).mapInArrow(_merged, "id long, th long, runs array<struct<a:long,b:long>>")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
