@@ -1,9 +1,128 @@
-"""Queries of the graph operators."""
+"""Queries of the graph operators over G(w): parts are vertices, and two are joined if they share w orders or more."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from orbweave.operators import clique, cores, graph, match, maximal, quasi, triangles
+from orbweave.sources import text
+
+LABELS = ["a", "b", "c", "d"]
+
+
+def co_order_edges(spark: SparkSession, sf_dir: str, w: int = 1) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k")).distinct()
+    pairs = p.alias("a").join(p.alias("b"), F.col("a.o") == F.col("b.o")).filter("a.k < b.k").groupBy(F.col("a.k").alias("u"), F.col("b.k").alias("v")).count()
+    return pairs.filter(F.col("count") >= w).select("u", "v")
+
+
+def co_order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.array(*map(F.lit, LABELS))[(F.col("p_partkey") % 4).cast("int")].alias("label"))
+
+
+def _on(f: Callable[[DataFrame], DataFrame], w: int = 1) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(co_order_edges(spark, sf_dir, w))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacency written as text and read again, as edges."""
+    from orbweave.functions.state import stored
+
+    path = stored(spark.range(1), "text").inputFiles()[0].rpartition("/")[0] + "-adjacency"
+    text.write_adjacency(graph.adjacency(co_order_edges(spark, sf_dir, 2)), path)
+    return graph.normalised(text.edges_of(text.read_adjacency(spark, path, sort=True)))
+
+
+def _maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the part sets of all orders, those that no other order's holds."""
+    sets = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("vset"))
+    return maximal.maximal_sets(sets).select("size", F.array_join(F.col("vset").cast("array<string>"), " ").alias("vset"))
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    return df.select("size", F.array_join(F.col("vset").cast("array<string>"), " ").alias("vset"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "normalised_edges": _on(lambda e: graph.normalised(graph.mirrored(e))),
+        "oriented_edges": _on(graph.by_degree),
+        "degree": _on(graph.degrees),
+        "degree_histogram": _on(lambda e: graph.degrees(e).groupBy("degree").agg(F.count("*").alias("vertices"))),
+        "max_degree_vertex": _on(lambda e: graph.degrees(e).agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("id"), F.max("degree").alias("degree"))),
+        "trimmed_adjacency": _on(lambda e: graph.trimmed(graph.adjacency(e), lambda i, n: n > i).select("id", F.size("nbrs").cast("long").alias("n"))),
+        "ego_network_edges": _on(graph.ego_edges, 2),
+        "induced_edges": _on(lambda e: graph.induced(e, graph.degrees(e).filter("degree >= 120"))),
+        "two_hop_size": _on(lambda e: graph.two_hop(e).groupBy("id").agg(F.count("*").alias("n")), 2),
+        "recode_ids": _on(graph.recoded),
+        "wedge_count": _on(triangles.wedge_count),
+        "triangle_count": _on(triangles.triangle_count),
+        "triangle_list": _on(triangles.triangles),
+        "triangles_per_vertex": _on(triangles.triangles_per_vertex),
+        "pattern_count": lambda s, d: match.match_count(co_order_edges(s, d), co_order_labels(s, d)),
+        "pattern_list": lambda s, d: match.match(co_order_edges(s, d, 2), co_order_labels(s, d)),
+        "kcore_vertices": _on(lambda e: graph.degrees(cores.k_core(e, 3)).select("id"), 2),
+        "kcore_profile": _on(cores.core_profile, 2),
+        "core_number": _on(cores.core_numbers, 2),
+        "kcore_2hop": _on(lambda e: graph.degrees(cores.k_core_two_hop(e, 3, 12)).select("id"), 2),
+        "clique_count_by_size": _on(clique.clique_counts),
+        "max_clique": _on(lambda e: _listed(clique.max_clique(e))),
+        "max_clique_size": _on(lambda e: clique.max_clique(e).select("size")),
+        "quasi_cliques": _on(lambda e: _listed(quasi.quasi_cliques(e, 0.6, 4)), 2),
+        "quasi_clique_check": _on(lambda e: quasi.is_quasi_clique(quasi.quasi_cliques(e, 0.6, 4), e, 0.6).groupBy("holds").agg(F.count("*").alias("n")), 2),
+        "maximal_sets": _maximal,
+        "adjacency_round_trip": _round_trip,
+    }
+
+
+def _graph(w: int = 1) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey o, l_partkey k FROM lineitem),
+ E AS (SELECT a.k u, b.k v FROM p a JOIN p b ON a.o = b.o AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= {w}),
+ S AS (SELECT u, v FROM E UNION ALL SELECT v, u FROM E), D AS (SELECT u AS id, count(*) AS degree FROM S GROUP BY u)"""
+
+
+def _lab(x: str) -> str:
+    return f"(['a', 'b', 'c', 'd'])[{x} % 4 + 1]"
+
+
+_TRIANGLES = "FROM E a JOIN E b ON a.v = b.u JOIN E c ON c.u = a.u AND c.v = b.v"
+_PATTERN = f"""FROM S ac JOIN S ab ON ab.u = ac.u JOIN S cb ON cb.u = ac.v AND cb.v = ab.v
+ JOIN S c2 ON c2.u = ac.v AND c2.v <> ab.v JOIN S bd ON bd.u = c2.v
+ WHERE {_lab("ac.u")} = 'a' AND {_lab("ac.v")} = 'c' AND {_lab("ab.v")} = 'b' AND {_lab("c2.v")} = 'b' AND {_lab("bd.v")} = 'd'"""
+_CLIQUES = """, A AS (SELECT u, list(v ORDER BY v) nb FROM E GROUP BY u),
+ q(n, vset, cand) AS (SELECT 1, [u], nb FROM A UNION ALL
+  SELECT n + 1, list_append(vset, x.v), list_intersect(q.cand, coalesce(A.nb, [])) FROM q, unnest(q.cand) x(v) LEFT JOIN A ON A.u = x.v)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    one, two = _graph(1), _graph(2)
+    return {
+        "normalised_edges": f"{one} SELECT u, v FROM E",
+        "oriented_edges": f"{one} SELECT CASE WHEN (x.degree, u) < (y.degree, v) THEN u ELSE v END AS a, CASE WHEN (x.degree, u) < (y.degree, v) THEN v ELSE u END AS b FROM E JOIN D x ON x.id = u JOIN D y ON y.id = v",
+        "degree": f"{one} SELECT id, degree FROM D",
+        "degree_histogram": f"{one} SELECT degree, count(*) AS vertices FROM D GROUP BY degree",
+        "max_degree_vertex": f"{one} SELECT id, degree FROM D ORDER BY degree DESC, id LIMIT 1",
+        "trimmed_adjacency": f"{one} SELECT id, (SELECT count(*) FROM E WHERE E.u = D.id) AS n FROM D",
+        "ego_network_edges": f"{two} SELECT a.u AS root, b.u, b.v {_TRIANGLES}",
+        "induced_edges": f"{one} SELECT u, v FROM E JOIN D x ON x.id = u JOIN D y ON y.id = v WHERE x.degree >= 120 AND y.degree >= 120",
+        "two_hop_size": f"{two} SELECT id, count(*) AS n FROM (SELECT u AS id, v FROM S UNION SELECT x.u, y.v FROM S x JOIN S y ON x.v = y.u WHERE x.u <> y.v) GROUP BY id",
+        "recode_ids": f"""{one}, hub AS (SELECT max_by(id, degree * 1000000000 - id) AS h FROM D),
+ r AS (SELECT D.id, D.degree, CASE WHEN D.id = h THEN 0 WHEN n.v IS NULL THEN 1 ELSE 2 END AS part FROM D CROSS JOIN hub LEFT JOIN S n ON n.u = h AND n.v = D.id)
+SELECT id, row_number() OVER (ORDER BY part, degree, id) - 1 AS newid FROM r""",
+        "wedge_count": f"{one} SELECT CAST(sum(degree * (degree - 1) // 2) AS BIGINT) AS wedges FROM D",
+        "triangle_count": f"{one} SELECT count(*) AS triangles {_TRIANGLES}",
+        "triangle_list": f"{one} SELECT a.u AS a, a.v AS b, b.v AS c {_TRIANGLES}",
+        "triangles_per_vertex": f"{one}, T AS (SELECT a.u AS x, a.v AS y, b.v AS z {_TRIANGLES}) SELECT id, count(*) AS triangles FROM (SELECT x AS id FROM T UNION ALL SELECT y FROM T UNION ALL SELECT z FROM T) GROUP BY id",
+        "pattern_count": f"{one} SELECT count(*) AS matches {_PATTERN}",
+        "pattern_list": f"{two} SELECT ac.u AS a, ac.v AS c, ab.v AS b1, c2.v AS b2, bd.v AS d {_PATTERN}",
+        "clique_count_by_size": f"{one}{_CLIQUES} SELECT n, count(*) AS cliques FROM q WHERE n > 1 GROUP BY n",
+        "max_clique": f"{one}{_CLIQUES} SELECT n AS size, array_to_string(vset, ' ') AS vset FROM q ORDER BY n DESC, q.vset LIMIT 1",
+        "max_clique_size": f"{one}{_CLIQUES} SELECT max(n) AS size FROM q",
+        "maximal_sets": """WITH s AS (SELECT DISTINCT vset FROM (SELECT list(DISTINCT l_partkey ORDER BY l_partkey) AS vset FROM lineitem GROUP BY l_orderkey)),
+ i AS (SELECT vset, unnest(vset) AS v FROM s)
+SELECT len(vset) AS size, array_to_string(vset, ' ') AS vset FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.v = s.vset[1] AND len(i.vset) > len(s.vset) AND list_has_all(i.vset, s.vset))""",
+        "adjacency_round_trip": f"{two} SELECT u, v FROM E",
+    }
