@@ -13,16 +13,16 @@ import re
 
 import numpy as np
 
-CACHED_IDS = 1_000_000
+CACHED_IDS = 3_000_000
 CUT = re.compile(r" (?=\S)").split
 
 
 class _Codes(dict):
-    def __init__(self, owner: PieceEncoder, prefix: str):
-        self.owner, self.prefix = owner, prefix
+    def __init__(self, learn):
+        self.learn = learn
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = code = self.owner.new(self.prefix + piece)
+        self[piece] = code = self.learn(piece)
         return code
 
 
@@ -33,18 +33,52 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.n_bytes[i] = len(token)  # a character of a byte-level token stands for a byte
         self.clear()
 
     def clear(self) -> None:
-        self.head, self.tail = _Codes(self, ""), _Codes(self, " ")
-        self.pending: list[str] = []
-        self.flat, self.length, self.codes = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+        self.head, self.tail = _Codes(self.whole), _Codes(self.after_space)
+        self.alone: list[str] = []  # texts and first pieces to encode, and their codes
+        self.alone_codes: list[int] = []
+        self.joined: list[str] = []  # pieces after a space, and theirs
+        self.joined_codes: list[int] = []
+        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes = 0
+
+    def whole(self, piece: str) -> int:
+        self.alone.append(piece)
+        self.alone_codes.append(self.codes)
+        self.codes += 1
+        return self.codes - 1
 
-    def new(self, piece: str) -> int:
-        self.pending.append(piece)
+    def after_space(self, piece: str) -> int:
+        self.joined.append(" " + piece)
+        self.joined_codes.append(self.codes)
         self.codes += 1
         return self.codes - 1
 
+    def _learn(self) -> None:
+        """Pieces after a space are encoded as one text, and its ids part where their bytes do; the others one by one."""
+        flats, codes, lengths = [self.flat], [*self.joined_codes, *self.alone_codes], []
+        for k in range(0, len(self.joined), 20_000):
+            pieces = self.joined[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.int32)
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
+            flats.append(ids)
+        for k in range(0, len(self.alone), 2_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(self.alone[k : k + 2_000], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flats.append(np.fromiter((x for g in got for x in g), np.int32, int(lengths[-1].sum())))
+        n = np.concatenate(lengths)
+        start, length = np.zeros(self.codes, np.int64), np.zeros(self.codes, np.int64)
+        start[: len(self.start)], length[: len(self.length)] = self.start, self.length
+        start[codes], length[codes] = len(self.flat) + np.cumsum(n) - n, n
+        self.flat, self.start, self.length = np.concatenate(flats), start, length
+        self.alone, self.alone_codes, self.joined, self.joined_codes = [], [], [], []
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         if len(self.flat) > CACHED_IDS:
@@ -55,24 +89,17 @@ class PieceEncoder:
         for i, t in enumerate(texts):
             if t:
                 if any(s in t for s in self.special):
-                    used.append(self.new(t))
+                    used.append(self.whole(t))
                 else:
-                    first, *rest = CUT(t)
-                    used.append(self.head[first])
-                    used.extend(map(tail, rest))
+                    pieces = CUT(t)
+                    used.append(self.head[pieces[0]])
+                    used.extend(map(tail, pieces[1:]))
             ends[i] = len(used)
-        if self.pending:
-            flats, lengths = [self.flat], [self.length]
-            for k in range(0, len(self.pending), 10_000):
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(self.pending[k : k + 10_000], add_special_tokens=False)]
-                n = np.fromiter(map(len, got), np.int64, len(got))
-                flats.append(np.fromiter((x for g in got for x in g), np.int32, int(n.sum())))
-                lengths.append(n)
-            self.flat, self.length = np.concatenate(flats), np.concatenate(lengths)
-            self.pending = []
-        ids = gathered(self.flat, np.cumsum(self.length) - self.length, self.length, code := np.array(used, np.int64))
+        if self.alone or self.joined:
+            self._learn()
+        code = np.array(used, np.int64)
         upto = np.concatenate([[0], np.cumsum(self.length[code])])[ends]
-        return ids, np.diff(upto, prepend=0)
+        return gathered(self.flat, self.start, self.length, code), np.diff(upto, prepend=0)
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray) -> np.ndarray:

@@ -30,9 +30,6 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     def count(batches):
         enc = encoder(tokenizer)
-        n_bytes = np.zeros(enc.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
-        for token, i in enc.tokenizer.get_vocab(with_added_tokens=True).items():
-            n_bytes[i] = len(token)  # a character of a byte-level token stands for a byte
         for whole in batches:
             for batch in sliced(whole, "text", 4 << 20):
                 raw, off = byte_view(batch.column("text"))
@@ -40,7 +37,7 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
                 ids, _ = enc.encode(batch.column("text").to_pylist())
                 ends = np.unique(np.concatenate([np.flatnonzero(raw == ord(separator)) + 1, off[1:]]))
                 ends = ends[ends > 0]
-                size = n_bytes[ids]
+                size = enc.n_bytes[ids]
                 last = np.cumsum(size)
                 first = np.searchsorted(ends, last - size, side="right")
                 final = np.searchsorted(ends, last - 1, side="right")
