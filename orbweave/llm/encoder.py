@@ -64,7 +64,7 @@ class PieceEncoder:
         flats, codes, lengths = [self.flat], [*self.joined_codes, *self.alone_codes], []
         for k in range(0, len(self.joined), 20_000):
             pieces = self.joined[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
             lengths.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
             flats.append(ids)
