@@ -217,6 +217,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: b
                 if round_trip:
                     columns.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", *["decoded"] * round_trip])
+        bpe.clear()  # workers go on to tasks of other stages
 
     return rows.mapInArrow(run, f"{schema}{', ' if kept else ''}ids array<int>" + ", decoded string" * round_trip)
 

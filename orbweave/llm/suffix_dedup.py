@@ -144,10 +144,10 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([rows.column("id").take(r), rows.column("th").take(r), pa.array(a), pa.array(b)], names=["id", "th", "a", "b"])
 
     for whole in batches:
-        for a in range(0, whole.num_rows, 2000):
-            held.append(whole.slice(a, 2000))
+        for a in range(0, whole.num_rows, 500):
+            held.append(whole.slice(a, 500))
             size += held[-1].column("bytes").nbytes
-            if size > 6 << 20:
+            if size > 1 << 20:
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 lead = np.asarray(rows.column("lead"))
                 other = np.flatnonzero(lead != lead[-1])
