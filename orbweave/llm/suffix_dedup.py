@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ODD, Prints, byte_view, mixed, parts_of, small, small_batches, stored
+from orbweave.llm.common import ODD, Prints, byte_view, mixed, small, small_batches, stored
 from orbweave.llm.encoder import sliced
 
 SPAN, LEAD, HOT = 400, 64, 1000
+A_RANGE = 10_000  # suffixes of a range of leading bytes: about 6 MB with their bytes
 CELLS = (85, 9, 1)
 REACH = SPAN - LEAD + 1  # places for an anchor in a window
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -217,8 +218,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
 
     mixed_leads = stored(covers.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter("m > 1 AND low = 1").select(F.col("lead").alias("k"), "m"), "mixed")
     open_ = covers.join(small(mixed_leads), F.col("lead") == F.col("k")).select("one.*", "lead", F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("m") > HOT).alias("hot"))
-    # Spark samples the splitters of the leading bytes
-    ranged = stored(open_.filter("NOT hot").repartitionByRange(parts_of(docs.sparkSession), "first", "lead").withColumn("part", F.spark_partition_id()), "ranged")
+    # Spark samples the splitters of the leading bytes; the number of ranges follows the suffixes
+    alone = open_.filter("NOT hot")
+    ranged = stored(alone.repartitionByRange(1 + alone.count() // A_RANGE, "first", "lead").withColumn("part", F.spark_partition_id()), "ranged")
 
     def with_text(rows: DataFrame, *fields: str) -> DataFrame:
         by_text = stored(rows.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*fields)).alias("wanted")), "wanted")
@@ -245,26 +247,36 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     return runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")).mapInArrow(_merged, "id long, th long, runs array<struct<a:long,b:long>>")
 
 
+def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text_col: str) -> tuple[DataFrame, str]:
+    """The kept columns of docs, then the runs to cut and the text; and the schema of the kept ones."""
+    spans = stored(repeated_spans(docs, doc_id, text_col), "spans").select(F.col("id").alias("_span_id"), F.col("th").alias("_span_th"), F.col("runs").alias("_span_runs"))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_span_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_span_th"))
+    rows = docs.join(small(spans, 100_000), same, "left").select(*[docs[f"`{c}`"] for c in kept], "_span_runs", docs[f"`{text_col}`"].alias("_span_text"))
+    return rows, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[: len(kept)])
+
+
+def _gone(lists, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which bytes the runs of each text cover."""
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets).astype(np.int64)))
+    flat = lists.flatten()
+    a, b = (np.asarray(flat.field(k)) + off[row] for k in (0, 1))
+    depth = np.bincount(a, minlength=len(raw) + 1).astype(np.int64)
+    depth -= np.bincount(b, minlength=len(raw) + 1)
+    return np.cumsum(depth)[: len(raw)] > 0
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay); the text goes unless keep_text."""
-    spans = stored(repeated_spans(docs, doc_id, text_col), "spans").select(F.col("id").alias("_i"), F.col("th").alias("_h"), F.col("runs").alias("_runs"))
     kept = [c for c in docs.columns if c not in OUTPUTS and (keep_text or c != text_col)]
-    rows = docs.join(small(spans, 100_000), (F.col(doc_id).cast("long").eqNullSafe(F.col("_i"))) & (F.xxhash64(text_col) == F.col("_h")), "left").select(*[docs[c] for c in kept], "_runs", docs[text_col].alias("_t"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name not in ("_runs", "_t"))
+    rows, schema = _with_runs(docs, kept, doc_id, text_col)
 
     def run(batches):
-        for columns, raw, off in _texts_of(batches, len(kept) + 1, "_t"):
-            lists = columns[-1]
-            parts = np.asarray(lists.offsets).astype(np.int64)
-            row = np.repeat(np.arange(len(lists)), np.diff(parts))
-            flat = lists.flatten()
-            a, b = (np.asarray(flat.field(k)) + off[row] for k in (0, 1))
-            depth = np.bincount(a, minlength=len(raw) + 1).astype(np.int64)
-            depth -= np.bincount(b, minlength=len(raw) + 1)
-            gone = np.cumsum(depth)[: len(raw)] > 0
+        for columns, raw, off in _texts_of(batches, len(kept) + 1, "_span_text"):
+            gone = _gone(columns[-1], raw, off)
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
-            starts[off[:-1][off[:-1] < len(raw)]] = gone[off[:-1][off[:-1] < len(raw)]]
+            first = off[:-1][off[:-1] < len(raw)]
+            starts[first] = gone[first]
             total, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, starts))
             data = raw[~gone].tobytes()
             cut = (off - total[off]).tolist()
@@ -277,17 +289,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
 
 def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings cut out of their texts; bytes of a cut character go with it."""
-    names = docs.columns
-    own = [c for c in names if c in OUTPUTS]
-    out = remove_repeats(docs.withColumnsRenamed({c: f"_own_{c}" for c in own}), doc_id, text_col, keep_text=True)
-
-    def decoded(batches):
-        for b in batches:
-            i = b.schema.get_field_index(text_col)
-            k, n = b.schema.get_field_index("kept"), b.schema.get_field_index("n_removed")
-            text = [t if not r else x.decode("utf-8", "ignore") for t, r, x in zip(b.column(i).to_pylist(), b.column(n).to_pylist(), b.column(k).to_pylist())]
-            columns = [pa.array(text, pa.string()) if j == i else b.column(j) for j in range(b.num_columns) if b.schema.names[j] not in OUTPUTS]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in b.schema.names if x not in OUTPUTS])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in OUTPUTS)
-    return out.mapInArrow(decoded, schema).withColumnsRenamed({f"_own_{c}": c for c in own}).select(*names)
+    kept = [c for c in docs.columns if c != text_col]
+    rows, schema = _with_runs(docs, kept, doc_id, text_col)
+
+    def run(batches):
+        for columns, raw, off in _texts_of(batches, len(kept) + 2, "_span_text"):
+            gone = _gone(columns[-2], raw, off)
+            texts = columns[-1].to_pylist()
+            total = np.concatenate([[0], np.cumsum(gone)])[off]
+            for i in np.flatnonzero(np.diff(total)).tolist():
+                at = slice(off[i], off[i + 1])
+                texts[i] = raw[at][~gone[at]].tobytes().decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(texts, pa.string())], names=[*kept, text_col])
+
+    return rows.mapInArrow(run, f"{schema}`{text_col}` string").select(*[F.col(f"`{c}`") for c in docs.columns])
