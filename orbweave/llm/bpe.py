@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import small_batches
+from orbweave.llm.common import small_batches, trim
 from orbweave.llm.encoder import gathered, sliced
 
 CACHED_PIECES = 150_000
@@ -218,6 +218,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: b
                     columns.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", *["decoded"] * round_trip])
         bpe.clear()  # workers go on to tasks of other stages
+        trim()
 
     return rows.mapInArrow(run, f"{schema}{', ' if kept else ''}ids array<int>" + ", decoded string" * round_trip)
 

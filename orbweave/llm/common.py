@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,12 +47,23 @@ def ascii_lower(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Texts go to Python in Arrow batches of 500 rows at most: a worker's memory then follows a slice, not a batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 501):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """Texts go to Python in Arrow batches of 500 rows or 4 MB at most: memory of executor and worker then follows neither rows nor long texts, but for one text."""
+    for key, most in (("maxRecordsPerBatch", 500), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or int(now) not in range(1, most + 1):
+            spark.conf.set(key, str(most))
     return spark
 
 
+def trim() -> None:
+    """At the end of a task: hands freed memory back to the system, since the worker goes on to other tasks or waits for them."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if give_back:
+        give_back(0)
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import byte_view, small_batches
+from orbweave.llm.common import byte_view, small_batches, trim
 from orbweave.llm.encoder import sliced
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 6, 2
@@ -172,6 +172,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", keep_text: bool
                 mean = np.add.reduceat(mean.astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
                 p = sigmoid(mean @ net.weight + net.bias)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(p)], names=[*kept, "score"])
+        trim()
 
     return rows.mapInArrow(run, f"{schema}score double")
 

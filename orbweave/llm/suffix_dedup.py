@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ODD, Prints, byte_view, mixed, small, small_batches, stored
+from orbweave.llm.common import ODD, Prints, byte_view, mixed, small, small_batches, stored, trim
 from orbweave.llm.encoder import sliced
 
 SPAN, LEAD, HOT = 400, 64, 1000
@@ -73,6 +73,7 @@ def _texts_of(batches, columns: int, name: str = "text"):
         for b in sliced(whole, name):
             raw, off = byte_view(b.column(name))
             yield [b.column(i) for i in range(columns)], raw[off[0] : off[-1]], off - off[0]
+    trim()
 
 
 def _first_bytes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
