@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import small_batches, trim
 from orbweave.llm.encoder import gathered, sliced
 
-CACHED_PIECES = 150_000
+CACHED_PIECES = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -197,6 +197,7 @@ _MODELS: dict[str, PairIndexBpe] = {}
 def model(path: str) -> PairIndexBpe:
     if path not in _MODELS:
         _MODELS[path] = PairIndexBpe(path)
+        trim()  # of the parsed file
     return _MODELS[path]
 
 
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: b
     def run(batches):
         bpe = model(tokenizer)
         for whole in batches:
-            for batch in sliced(whole, "_t", 4 << 20):
+            for batch in sliced(whole, "_t", 1 << 20):
                 ids, counts = bpe.encode(batch.column("_t").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
