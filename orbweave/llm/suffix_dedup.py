@@ -7,6 +7,8 @@ stands for the run of windows that chose it (about one a hundred and seventy byt
 
 1. Each anchor posts a hash of its leading bytes and one of all bytes its windows cover. Anchors with equal
    covers repeat in all their windows, and are settled by counting alone. So are those whose lead is unique.
+   A text posts equal anchors once, with their number and the runs that they cover, so lines that a text
+   repeats over and over don't multiply rows.
 2. The rest (anchors at the ends of repeats) carry their bytes. Sampled splitters range-partition these
    suffixes by their leading bytes, buckets are sorted, and within a run of equal leads each window is
    compared by its position against the anchor and its fingerprint; a lead never straddles two buckets.
@@ -37,7 +39,8 @@ A_RANGE = 10_000  # suffixes of a range of leading bytes: about 6 MB with their
 CELLS = (85, 9, 1)
 REACH = SPAN - LEAD + 1  # places for an anchor in a window
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
-ANCHOR = "id long, th long, pos int, o1 int, o2 int, first long, lead long, cover long"
+RUNS = "array<struct<a:long,b:long>>"
+ANCHOR = f"id long, th long, pos int, o1 int, o2 int, first long, lead long, cover long, m int, more {RUNS}"
 RUN = "id long, th long, a long, b long"
 
 
@@ -90,9 +93,22 @@ def _post(batches):
         if len(doc):
             lead = prints.of(at, at + LEAD)
             cover = mixed(prints.of(p1, p2 + SPAN) + (at - p1).astype(np.uint64) * ODD[3])
+            order = np.lexsort((cover, lead, doc))  # stable: equal anchors stay in the order of their text
+            doc, at, p1, p2, lead, cover = (x[order] for x in (doc, at, p1, p2, lead, cover))
+            head = np.concatenate([[True], (np.diff(doc) != 0) | (lead[1:] != lead[:-1]) | (cover[1:] != cover[:-1])])
+            one = np.flatnonzero(head)
+            m = np.diff(np.append(one, len(doc)))
+            a, b = p1 - off[doc], p2 - off[doc] + SPAN
+            apart = head.copy()
+            apart[1:] |= a[1:] > b[:-1]
+            new = np.flatnonzero(apart & np.repeat(m > 1, m))
+            end = np.append(np.flatnonzero(apart)[1:], len(doc))[np.cumsum(apart)[new] - 1] - 1
+            parts = np.concatenate([[0], np.cumsum(np.bincount((np.cumsum(head) - 1)[new], minlength=len(one)))]).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(parts), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(b[end])], names=["a", "b"]))
+            doc, at, p1, p2, lead, cover = (x[one] for x in (doc, at, p1, p2, lead, cover))
             row = pa.array(doc)
-            values = ((at - off[doc]).astype(np.int32), (at - p2).astype(np.int32), (at - p1).astype(np.int32), _first_bytes(raw, at), lead.view(np.int64), cover.view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.take(row), ths.take(row), *map(pa.array, values)], names=["id", "th", "pos", "o1", "o2", "first", "lead", "cover"])
+            values = ((at - off[doc]).astype(np.int32), (at - p2).astype(np.int32), (at - p1).astype(np.int32), _first_bytes(raw, at), lead.view(np.int64), cover.view(np.int64), m.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids.take(row), ths.take(row), *map(pa.array, values), more], names=["id", "th", "pos", "o1", "o2", "first", "lead", "cover", "m", "more"])
 
 
 def _wanted(lists, off) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -209,13 +225,18 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= SPAN)
     posts = stored(texts.mapInArrow(_post, ANCHOR), "anchors")
-    leads = stored(posts.groupBy("lead").count().filter("count > 1").select(F.col("lead").alias("k")), "leads")
+    leads = stored(posts.groupBy("lead").agg(F.sum("m").alias("s")).filter("s > 1").select(F.col("lead").alias("k")), "leads")
     shared = stored(posts.join(small(leads), F.col("lead") == F.col("k"), "left_semi"), "shared")
-    covers = shared.groupBy("lead", "cover").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos", "o1", "o2", "first")).alias("one"))
+    covers = shared.groupBy("lead", "cover").agg(F.sum("m").alias("n"), F.min(F.struct("id", "th", "pos", "o1", "o2", "first")).alias("one"))
     covers = stored(covers, "covers")
     twice = stored(covers.filter("n > 1").select(F.col("lead").alias("k"), F.col("cover").alias("c")), "twice")
     whole = shared.join(small(twice), (F.col("lead") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
-    runs = whole.select("id", "th", (F.col("pos") - F.col("o2")).cast("long").alias("a"), (F.col("pos") - F.col("o1") + SPAN).cast("long").alias("b"))
+
+    def run(a, b):
+        return F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))).alias("runs")
+
+    its_own = run(F.col("pos") - F.col("o2"), F.col("pos") - F.col("o1") + SPAN)
+    runs = whole.select("id", "th", F.when(F.col("m") > 1, F.col("more")).otherwise(its_own).alias("runs"))
 
     mixed_leads = stored(covers.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter("m > 1 AND low = 1").select(F.col("lead").alias("k"), "m"), "mixed")
     open_ = covers.join(small(mixed_leads), F.col("lead") == F.col("k")).select("one.*", "lead", F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("m") > HOT).alias("hot"))
@@ -230,7 +251,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     carried = with_text(ranged, "pos", "o1", "o2", "part", "lead", "n").mapInArrow(_carry, "id long, th long, pos int, o1 int, o2 int, part int, lead long, n int, bytes binary")
     n_parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
     compared = carried.repartitionById(n_parts, F.col("part")).sortWithinPartitions("lead").mapInArrow(_compare, RUN)
-    runs = runs.union(compared)
+    runs = runs.union(compared.select("id", "th", run(F.col("a"), F.col("b"))))
 
     hot = stored(open_.filter("hot"), "hot")
     if hot.limit(1).count():
@@ -242,10 +263,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
             covers = stored(covers, "cell-covers")
             twice = stored(covers.filter("s > 1").select(F.col("name").alias("k"), F.col("cover").alias("c")), "cell-twice")
             found = cells.filter("n = 1").join(small(twice), (F.col("name") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
-            runs = runs.union(found.select("id", "th", (F.col("pos") - F.col("o2")).cast("long"), (F.col("pos") - F.col("o1") + SPAN).cast("long")))
+            runs = runs.union(found.select("id", "th", its_own))
             several = stored(covers.groupBy("name").agg(F.count("*").alias("m"), F.min("s").alias("low")).filter("m > 1 AND low = 1").select(F.col("name").alias("k")), "cell-mixed")
             alive = stored(covers.join(small(several), F.col("name") == F.col("k"), "left_semi").select("one.*", "name", F.least("s", F.lit(2)).cast("int").alias("n")), "alive")
-    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs")).mapInArrow(_merged, "id long, th long, runs array<struct<a:long,b:long>>")
+    return runs.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merged, f"id long, th long, runs {RUNS}")
 
 
 def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text_col: str) -> tuple[DataFrame, str]:

@@ -178,7 +178,9 @@ def test_decontamination(spark):
 
 
 def test_suffix_dedup(spark):
-    rows = [*passages(9, 150), (7, "y" * 450), (7, "y" * 450), (None, passages(9, 150)[3][1])]
+    lines = "a line that its own text repeats over and over, 60 bytes long\n" * 12
+    own = ["".join(random.Random(k).choices("abcdefgh ", k=900)) for k in range(3)]
+    rows = [*passages(9, 150), (7, "y" * 450), (7, "y" * 450), (None, passages(9, 150)[3][1]), (300, lines + own[0] + lines + own[1]), (301, own[2] + lines + "z"), (302, lines[:500])]
     seen = Counter(b[p : p + 400] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - 399))
     expected = Counter()
     for i, t in rows:
