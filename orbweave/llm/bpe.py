@@ -41,6 +41,18 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """Codes of pieces; a piece without one gets the next and is listed as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        self.new.append(piece)
+        return code
+
+
 class PairIndexBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -67,7 +79,7 @@ class PairIndexBpe:
         self.clear()
 
     def clear(self) -> None:
-        self.piece_code: dict[str, int] = {}
+        self.piece_code = _Pieces()
         self.flat, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,17 +167,8 @@ class PairIndexBpe:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.piece_code) > CACHED_PIECES:
             self.clear()
-        known, new, used, ends = self.piece_code, [], [], []
-
-        class Codes(dict):
-            def __missing__(_, piece):
-                code = known.get(piece)
-                if code is None:
-                    code = known[piece] = len(known)
-                    new.append(piece)
-                return code
-
-        code = Codes().__getitem__
+        used, ends = [], []
+        code = self.piece_code.__getitem__
         for t in texts:
             if t:
                 parts = self.special_cut.split(t) if self.special_cut and "<" in t else [t]
@@ -175,8 +178,9 @@ class PairIndexBpe:
                     else:
                         used.extend(map(code, self.normal(part).split(" ")))
             ends.append(len(used))
-        if new:
-            self._learn(new)
+        if self.piece_code.new:
+            self._learn(self.piece_code.new)
+            self.piece_code.new = []
         codes = np.array(used, np.int64)
         if (codes < 0).any():  # special tokens stand for themselves
             flat, length = np.concatenate([self.flat, np.arange(self.size, dtype=np.int32)]), np.concatenate([self.length, np.ones(self.size, np.int64)])
