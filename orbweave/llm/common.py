@@ -47,8 +47,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Texts go to Python in Arrow batches of 500 rows or 4 MB at most: memory of executor and worker then follows neither rows nor long texts, but for one text."""
-    for key, most in (("maxRecordsPerBatch", 500), ("maxBytesPerBatch", 4 << 20)):
+    """Texts go to Python in Arrow batches of 500 rows or 1 MB at most: memory of executor and worker then follows neither rows nor long texts, but for one text."""
+    for key, most in (("maxRecordsPerBatch", 500), ("maxBytesPerBatch", 1 << 20)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or int(now) not in range(1, most + 1):
