@@ -27,12 +27,12 @@ def _on(f: Callable[[DataFrame], DataFrame], w: int = 1) -> Callable[[SparkSessi
     return lambda spark, sf_dir: f(co_order_edges(spark, sf_dir, w))
 
 
-def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _round_trip(spark: SparkSession, sf_dir: str, w: int = 2) -> DataFrame:
     """Adjacency written as text and read again, as edges."""
     from orbweave.functions.state import stored
 
     path = stored(spark.range(1), "text").inputFiles()[0].rpartition("/")[0] + "-adjacency"
-    text.write_adjacency(graph.adjacency(co_order_edges(spark, sf_dir, 2)), path)
+    text.write_adjacency(graph.adjacency(co_order_edges(spark, sf_dir, w)), path)
     return graph.normalised(text.edges_of(text.read_adjacency(spark, path, sort=True)))
 
 
@@ -75,6 +75,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quasi_clique_check": _on(lambda e: quasi.is_quasi_clique(quasi.quasi_cliques(e, 0.6, 4), e, 0.6).groupBy("holds").agg(F.count("*").alias("n")), 2),
         "maximal_sets": _maximal,
         "adjacency_round_trip": _round_trip,
+        # G(2) thins out as data grow; the same operators over G(1)
+        "ego_network_edges_w1": _on(graph.ego_edges),
+        "two_hop_size_w1": _on(lambda e: graph.two_hop(e).groupBy("id").agg(F.count("*").alias("n"))),
+        "pattern_list_w1": lambda s, d: match.match(co_order_edges(s, d), co_order_labels(s, d)),
+        "kcore_vertices_w1": _on(lambda e: graph.degrees(cores.k_core(e, 3)).select("id")),
+        "kcore_profile_w1": _on(cores.core_profile),
+        "core_number_w1": _on(cores.core_numbers),
+        "kcore_2hop_w1": _on(lambda e: graph.degrees(cores.k_core_two_hop(e, 3, 12)).select("id")),
+        "adjacency_round_trip_w1": lambda s, d: _round_trip(s, d, 1),
     }
 
 
@@ -125,4 +134,6 @@ SELECT id, row_number() OVER (ORDER BY part, degree, id) - 1 AS newid FROM r""",
  i AS (SELECT vset, unnest(vset) AS v FROM s)
 SELECT len(vset) AS size, array_to_string(vset, ' ') AS vset FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.v = s.vset[1] AND len(i.vset) > len(s.vset) AND list_has_all(i.vset, s.vset))""",
         "adjacency_round_trip": f"{two} SELECT u, v FROM E",
+        "two_hop_size_w1": f"{one} SELECT id, count(*) AS n FROM (SELECT u AS id, v FROM S UNION SELECT x.u, y.v FROM S x JOIN S y ON x.v = y.u WHERE x.u <> y.v) GROUP BY id",
+        "adjacency_round_trip_w1": f"{one} SELECT u, v FROM E",
     }

@@ -99,3 +99,37 @@ def test_text(spark, tmp_path):
     sets = spark.createDataFrame([([1, 2, 3],), ([7],)], "vset array<long>")
     text.write_sets(sets, str(tmp_path / "s"))
     assert sorted(r["vset"] for r in text.read_sets(spark, str(tmp_path / "s")).collect()) == [[1, 2, 3], [7]]
+
+
+def test_queries_over_all_shared_orders(spark, tmp_path):
+    """The queries of G(1), on a table whose G(2) is nearly empty."""
+    from orbweave import queries
+
+    r = random.Random(3)
+    rows = [(o, k) for o in range(30) for k in r.sample(range(24), 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(24)], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    near = {k: {j for o, j in rows for p, i in rows if o == p and i == k and j != k} for k in {k for _, k in rows}}
+    edges = {(u, v) for u in near for v in near[u] if u < v}
+    core = {}
+    left, k = dict(near), 0
+    while left:
+        k += 1
+        while gone := {v for v, n in left.items() if len(n & set(left)) < k}:
+            core |= dict.fromkeys(gone, k - 1)
+            left = {v: n for v, n in left.items() if v not in gone}
+    two = {v: (n | set().union(*(near[x] for x in n))) - {v} for v, n in near.items()}
+    of = lambda x: [v for v in near if "abcd"[v % 4] == x]
+    expected = {
+        "ego_network_edges_w1": {(a, b, c) for a, b in edges for c in near if b < c and c in near[a] and c in near[b]},
+        "two_hop_size_w1": {(v, len(n)) for v, n in two.items()},
+        "pattern_list_w1": {(a, c, x, y, d) for a in of("a") for c in of("c") for x in of("b") for y in of("b") for d in of("d") if x != y and c in near[a] and x in near[a] & near[c] and y in near[c] & near[d]},
+        "kcore_vertices_w1": {(v,) for v, c in core.items() if c >= 3},
+        "kcore_profile_w1": {(i, sum(c >= i for c in core.values())) for i in range(1, max(core.values()) + 1)},
+        "core_number_w1": set(core.items()),
+        "kcore_2hop_w1": {(v,) for v, c in core.items() if c >= 3},  # all of that core have 11 others within two steps
+        "adjacency_round_trip_w1": edges,
+    }
+    assert expected["pattern_list_w1"] and max(core.values()) > 4
+    for name, rows in expected.items():
+        assert sorted(map(tuple, queries.queries()[name](spark, str(tmp_path)).collect())) == sorted(rows), name
