@@ -1,5 +1,8 @@
 """Removal of every byte that a repeated SPAN-byte string covers, with a sparse distributed suffix array.
 
+With words, every passage of so many words that repeats goes too: its text is then the codes of its words, WORD
+bytes each, and the span that many codes.
+
 Sorting the suffixes of all byte positions would move each text hundreds of times. Instead, suffixes start at
 anchors: of each SPAN-byte window, the leftmost position with the least hash of its next LEAD bytes. An
 anchor depends on the window's bytes alone, so equal windows have anchors at the same offset, and an anchor
@@ -22,6 +25,7 @@ polynomials over random byte values, always compared together with the lead's.
 
 Defined results: null is the empty text; texts under SPAN bytes keep all; rows of one id with equal texts repeat
 each other; byte removal may cut characters, so kept is binary; columns named as an output are replaced.
+Words are what ASCII white space separates; the white space itself may differ between passages.
 """
 
 from __future__ import annotations
@@ -37,32 +41,33 @@ from orbweave.llm.encoder import sliced
 SPAN, LEAD, HOT = 400, 64, 1000
 A_RANGE = 10_000  # suffixes of a range of leading bytes: about 6 MB with their bytes
 CELLS = (85, 9, 1)
-REACH = SPAN - LEAD + 1  # places for an anchor in a window
+WORD = 8  # bytes of a word's code
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
 RUNS = "array<struct<a:long,b:long>>"
 ANCHOR = f"id long, th long, pos int, o1 int, o2 int, first long, lead long, cover long, m int, more {RUNS}"
 RUN = "id long, th long, a long, b long"
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, prints: Prints) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, off: np.ndarray, prints: Prints, span: int = SPAN) -> tuple[np.ndarray, ...]:
     """For texts raw[off[i]:off[i+1]]: text number, anchor, first and last window start, of each anchor (places in raw)."""
-    n = len(raw)
+    n, reach = len(raw), span - LEAD + 1  # reach: places for an anchor in a window
     none = (np.zeros(0, np.int64),) * 4
-    if n < SPAN:
+    if n < span:
         return none
     at = np.arange(n - LEAD + 1)
     least = (prints.of(at, at + LEAD) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     width = 1
-    while 2 * width <= REACH:
+    while 2 * width <= reach:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < REACH:
-        least = np.minimum(least[: len(least) - (REACH - width)], least[REACH - width :])
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the windows that start at 0, 1, ... n - SPAN
-    doc = np.repeat(np.arange(len(off) - 1), np.maximum(0, np.diff(off) - SPAN + 1))
+    if width < reach:
+        least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of the windows that start at 0, 1, ... n - span
+    doc = np.repeat(np.arange(len(off) - 1), np.maximum(0, np.diff(off) - span + 1))
     if not len(doc):
         return none
-    size = np.maximum(0, np.diff(off) - SPAN + 1)
+    size = np.maximum(0, np.diff(off) - span + 1)
     start = off[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
     place = place[start]
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
@@ -70,12 +75,25 @@ def anchors(raw: np.ndarray, off: np.ndarray, prints: Prints) -> tuple[np.ndarra
     return doc[new], place[new], start[new], start[last]
 
 
-def _texts_of(batches, columns: int, name: str = "text"):
-    """Slices of batches (..., text): the other columns, the bytes and the offsets."""
+def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and the offsets of each text in these."""
+    inside, edge = ~SPACE[raw], np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside])[:-1]))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside, [False]])[1:])) + 1
+    return start, end, np.searchsorted(start, off)
+
+
+def _texts_of(batches, columns: int, name: str = "text", words: bool = False):
+    """Slices of batches (..., text): the other columns, the bytes (or codes of words) and the offsets."""
     for whole in batches:
         for b in sliced(whole, name):
             raw, off = byte_view(b.column(name))
-            yield [b.column(i) for i in range(columns)], raw[off[0] : off[-1]], off - off[0]
+            raw, off = raw[off[0] : off[-1]], off - off[0]
+            if words:
+                start, end, off = word_bounds(raw, off)
+                raw, off = Prints(raw).of(start, end).astype("<u8").view(np.uint8), off * WORD
+            yield [b.column(i) for i in range(columns)], raw, off
     trim()
 
 
@@ -86,29 +104,32 @@ def _first_bytes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _post(batches):
-    for (ids, ths), raw, off in _texts_of(batches, 2):
-        prints = Prints(raw)
-        doc, at, p1, p2 = anchors(raw, off, prints)
-        if len(doc):
-            lead = prints.of(at, at + LEAD)
-            cover = mixed(prints.of(p1, p2 + SPAN) + (at - p1).astype(np.uint64) * ODD[3])
-            order = np.lexsort((cover, lead, doc))  # stable: equal anchors stay in the order of their text
-            doc, at, p1, p2, lead, cover = (x[order] for x in (doc, at, p1, p2, lead, cover))
-            head = np.concatenate([[True], (np.diff(doc) != 0) | (lead[1:] != lead[:-1]) | (cover[1:] != cover[:-1])])
-            one = np.flatnonzero(head)
-            m = np.diff(np.append(one, len(doc)))
-            a, b = p1 - off[doc], p2 - off[doc] + SPAN
-            apart = head.copy()
-            apart[1:] |= a[1:] > b[:-1]
-            new = np.flatnonzero(apart & np.repeat(m > 1, m))
-            end = np.append(np.flatnonzero(apart)[1:], len(doc))[np.cumsum(apart)[new] - 1] - 1
-            parts = np.concatenate([[0], np.cumsum(np.bincount((np.cumsum(head) - 1)[new], minlength=len(one)))]).astype(np.int32)
-            more = pa.ListArray.from_arrays(pa.array(parts), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(b[end])], names=["a", "b"]))
-            doc, at, p1, p2, lead, cover = (x[one] for x in (doc, at, p1, p2, lead, cover))
-            row = pa.array(doc)
-            values = ((at - off[doc]).astype(np.int32), (at - p2).astype(np.int32), (at - p1).astype(np.int32), _first_bytes(raw, at), lead.view(np.int64), cover.view(np.int64), m.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids.take(row), ths.take(row), *map(pa.array, values), more], names=["id", "th", "pos", "o1", "o2", "first", "lead", "cover", "m", "more"])
+def _post(span: int, words: bool):
+    def run(batches):
+        for (ids, ths), raw, off in _texts_of(batches, 2, words=words):
+            prints = Prints(raw)
+            doc, at, p1, p2 = anchors(raw, off, prints, span)
+            if len(doc):
+                lead = prints.of(at, at + LEAD)
+                cover = mixed(prints.of(p1, p2 + span) + (at - p1).astype(np.uint64) * ODD[3])
+                order = np.lexsort((cover, lead, doc))  # stable: equal anchors stay in the order of their text
+                doc, at, p1, p2, lead, cover = (x[order] for x in (doc, at, p1, p2, lead, cover))
+                head = np.concatenate([[True], (np.diff(doc) != 0) | (lead[1:] != lead[:-1]) | (cover[1:] != cover[:-1])])
+                one = np.flatnonzero(head)
+                m = np.diff(np.append(one, len(doc)))
+                a, b = p1 - off[doc], p2 - off[doc] + span
+                apart = head.copy()
+                apart[1:] |= a[1:] > b[:-1]
+                new = np.flatnonzero(apart & np.repeat(m > 1, m))
+                end = np.append(np.flatnonzero(apart)[1:], len(doc))[np.cumsum(apart)[new] - 1] - 1
+                parts = np.concatenate([[0], np.cumsum(np.bincount((np.cumsum(head) - 1)[new], minlength=len(one)))]).astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(parts), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(b[end])], names=["a", "b"]))
+                doc, at, p1, p2, lead, cover = (x[one] for x in (doc, at, p1, p2, lead, cover))
+                row = pa.array(doc)
+                values = ((at - off[doc]).astype(np.int32), (at - p2).astype(np.int32), (at - p1).astype(np.int32), _first_bytes(raw, at), lead.view(np.int64), cover.view(np.int64), m.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.take(row), ths.take(row), *map(pa.array, values), more], names=["id", "th", "pos", "o1", "o2", "first", "lead", "cover", "m", "more"])
+
+    return run
 
 
 def _wanted(lists, off) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -121,14 +142,18 @@ def _wanted(lists, off) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return row, got
 
 
-def _carry(batches):
+def _carry(span: int, words: bool):
     """Anchors with the bytes that their windows cover."""
-    for (ids, ths, lists), raw, off in _texts_of(batches, 3):
-        row, w = _wanted(lists, off)
-        data = memoryview(raw.tobytes())
-        texts = [data[a:b] for a, b in zip((w["at"] - w["o2"]).tolist(), (w["at"] - w["o1"] + SPAN).tolist())]
-        r = pa.array(row)
-        yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *[pa.array(w[k]) for k in ("pos", "o1", "o2", "part", "lead", "n")], pa.array(texts, pa.binary())], names=["id", "th", "pos", "o1", "o2", "part", "lead", "n", "bytes"])
+
+    def run(batches):
+        for (ids, ths, lists), raw, off in _texts_of(batches, 3, words=words):
+            row, w = _wanted(lists, off)
+            data = memoryview(raw.tobytes())
+            texts = [data[a:b] for a, b in zip((w["at"] - w["o2"]).tolist(), (w["at"] - w["o1"] + span).tolist())]
+            r = pa.array(row)
+            yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *[pa.array(w[k]) for k in ("pos", "o1", "o2", "part", "lead", "n")], pa.array(texts, pa.binary())], names=["id", "th", "pos", "o1", "o2", "part", "lead", "n", "bytes"])
+
+    return run
 
 
 def _windows(o1: np.ndarray, o2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,62 +163,66 @@ def _windows(o1: np.ndarray, o2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, o2[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
 
 
-def _compare(batches):
+def _compare(span: int):
     """Sorted suffixes: the runs [a, b) of bytes that repeated windows cover, for anchors that stand alone."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def settle(rows: pa.RecordBatch):
-        pos, o1, o2, lead, n = (np.asarray(rows.column(k)).astype(np.int64) for k in ("pos", "o1", "o2", "lead", "n"))
-        raw = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
-        off = np.cumsum(o2 - o1 + SPAN) - (o2 - o1 + SPAN)
-        row, o = _windows(o1, o2)
-        start = off[row] + o2[row] - o
-        name = mixed(Prints(raw).of(start, start + SPAN) + o.astype(np.uint64) * ODD[2] + lead.view(np.uint64)[row] * ODD[3])
-        _, which = np.unique(name, return_inverse=True)
-        again = (np.bincount(which, weights=n[row])[which] >= 2) & (n[row] == 1)
-        at = np.flatnonzero(again)
-        if not len(at):
-            return
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0))
-        lo, hi = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-        a, b = pos[row[lo]] - o[lo], pos[row[lo]] - o[hi] + SPAN
-        r = pa.array(row[lo])
-        yield pa.RecordBatch.from_arrays([rows.column("id").take(r), rows.column("th").take(r), pa.array(a), pa.array(b)], names=["id", "th", "a", "b"])
 
-    for whole in batches:
-        for a in range(0, whole.num_rows, 500):
-            held.append(whole.slice(a, 500))
-            size += held[-1].column("bytes").nbytes
-            if size > 1 << 20:
-                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                lead = np.asarray(rows.column("lead"))
-                other = np.flatnonzero(lead != lead[-1])
-                if len(other):  # the last lead may go on
-                    yield from settle(rows.slice(0, other[-1] + 1))
-                    held = [rows.slice(other[-1] + 1)]
-                    size = held[0].column("bytes").nbytes
-                else:
-                    held = [rows]
-    if held:
-        yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-
-def _cells(width: int):
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def settle(rows: pa.RecordBatch):
+            pos, o1, o2, lead, n = (np.asarray(rows.column(k)).astype(np.int64) for k in ("pos", "o1", "o2", "lead", "n"))
+            raw = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
+            off = np.cumsum(o2 - o1 + span) - (o2 - o1 + span)
+            row, o = _windows(o1, o2)
+            start = off[row] + o2[row] - o
+            name = mixed(Prints(raw).of(start, start + span) + o.astype(np.uint64) * ODD[2] + lead.view(np.uint64)[row] * ODD[3])
+            _, which = np.unique(name, return_inverse=True)
+            again = (np.bincount(which, weights=n[row])[which] >= 2) & (n[row] == 1)
+            at = np.flatnonzero(again)
+            if not len(at):
+                return
+            cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0))
+            lo, hi = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
+            a, b = pos[row[lo]] - o[lo], pos[row[lo]] - o[hi] + span
+            r = pa.array(row[lo])
+            yield pa.RecordBatch.from_arrays([rows.column("id").take(r), rows.column("th").take(r), pa.array(a), pa.array(b)], names=["id", "th", "a", "b"])
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                held.append(whole.slice(a, 500))
+                size += held[-1].column("bytes").nbytes
+                if size > 1 << 20:
+                    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    lead = np.asarray(rows.column("lead"))
+                    other = np.flatnonzero(lead != lead[-1])
+                    if len(other):  # the last lead may go on
+                        yield from settle(rows.slice(0, other[-1] + 1))
+                        held = [rows.slice(other[-1] + 1)]
+                        size = held[0].column("bytes").nbytes
+                    else:
+                        held = [rows]
+        if held:
+            yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _cells(width: int, span: int, words: bool):
     """The windows of wanted anchors, width offsets together: name tells the bytes that any window of the cell covers, cover those that all the anchor's windows in it cover."""
 
     def run(batches):
-        for (ids, ths, lists), raw, off in _texts_of(batches, 3):
+        for (ids, ths, lists), raw, off in _texts_of(batches, 3, words=words):
             row, w = _wanted(lists, off)
             o1, o2 = w["o1"].astype(np.int64), w["o2"].astype(np.int64)
             n = o2 // width - o1 // width + 1
             own = np.repeat(np.arange(len(n)), n)
             cell = (o1 // width)[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            low, high = cell * width, np.minimum(cell * width + width - 1, REACH - 1)
+            low, high = cell * width, np.minimum(cell * width + width - 1, span - LEAD)
             at, prints = w["at"][own], Prints(raw)
-            name = mixed(prints.of(at - low, at - high + SPAN) + cell.astype(np.uint64) * ODD[2] + w["name"].view(np.uint64)[own] * ODD[3])
+            name = mixed(prints.of(at - low, at - high + span) + cell.astype(np.uint64) * ODD[2] + w["name"].view(np.uint64)[own] * ODD[3])
             low, high = np.maximum(low, o1[own]), np.minimum(high, o2[own])
-            cover = mixed(prints.of(at - high, at - low + SPAN) + high.astype(np.uint64) * ODD[2])
+            cover = mixed(prints.of(at - high, at - low + span) + high.astype(np.uint64) * ODD[2])
             r = pa.array(row[own])
             values = (w["pos"][own], low.astype(np.int32), high.astype(np.int32), w["n"][own], name.view(np.int64), cover.view(np.int64))
             yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *map(pa.array, values)], names=["id", "th", "pos", "o1", "o2", "n", "name", "cover"])
@@ -220,11 +249,16 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), runs], names=["id", "th", "runs"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, runs): for texts (th: their xxhash64) with repeats, the disjoint runs [a, b) of bytes that repeated strings cover, in order."""
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", span: int = SPAN, words: int = 0) -> DataFrame:
+    """(id, th, runs): for texts (th: their xxhash64) with repeats, the disjoint runs [a, b) of bytes that repeated strings of span bytes cover, in order.
+
+    With words, the strings have that many words instead, and runs are places in the codes of the text's words."""
+    span, coded, least = (words * WORD, True, 2 * words - 1) if words else (span, False, span)
+    if span < 2 * LEAD:
+        raise ValueError(f"a span has {2 * LEAD} bytes or {2 * LEAD // WORD} words at least")
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= SPAN)
-    posts = stored(texts.mapInArrow(_post, ANCHOR), "anchors")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= least)
+    posts = stored(texts.mapInArrow(_post(span, coded), ANCHOR), "anchors")
     leads = stored(posts.groupBy("lead").agg(F.sum("m").alias("s")).filter("s > 1").select(F.col("lead").alias("k")), "leads")
     shared = stored(posts.join(small(leads), F.col("lead") == F.col("k"), "left_semi"), "shared")
     covers = shared.groupBy("lead", "cover").agg(F.sum("m").alias("n"), F.min(F.struct("id", "th", "pos", "o1", "o2", "first")).alias("one"))
@@ -235,7 +269,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     def run(a, b):
         return F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))).alias("runs")
 
-    its_own = run(F.col("pos") - F.col("o2"), F.col("pos") - F.col("o1") + SPAN)
+    its_own = run(F.col("pos") - F.col("o2"), F.col("pos") - F.col("o1") + span)
     runs = whole.select("id", "th", F.when(F.col("m") > 1, F.col("more")).otherwise(its_own).alias("runs"))
 
     mixed_leads = stored(covers.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter("m > 1 AND low = 1").select(F.col("lead").alias("k"), "m"), "mixed")
@@ -248,16 +282,16 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
         by_text = stored(rows.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*fields)).alias("wanted")), "wanted")
         return texts.join(small(by_text, 100_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "wanted", "text")
 
-    carried = with_text(ranged, "pos", "o1", "o2", "part", "lead", "n").mapInArrow(_carry, "id long, th long, pos int, o1 int, o2 int, part int, lead long, n int, bytes binary")
+    carried = with_text(ranged, "pos", "o1", "o2", "part", "lead", "n").mapInArrow(_carry(span, coded), "id long, th long, pos int, o1 int, o2 int, part int, lead long, n int, bytes binary")
     n_parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
-    compared = carried.repartitionById(n_parts, F.col("part")).sortWithinPartitions("lead").mapInArrow(_compare, RUN)
+    compared = carried.repartitionById(n_parts, F.col("part")).sortWithinPartitions("lead").mapInArrow(_compare(span), RUN)
     runs = runs.union(compared.select("id", "th", run(F.col("a"), F.col("b"))))
 
     hot = stored(open_.filter("hot"), "hot")
     if hot.limit(1).count():
         alive = hot.withColumnRenamed("lead", "name")
         for width in CELLS:
-            cells = with_text(alive, "pos", "o1", "o2", "name", "n").mapInArrow(_cells(width), "id long, th long, pos int, o1 int, o2 int, n int, name long, cover long")
+            cells = with_text(alive, "pos", "o1", "o2", "name", "n").mapInArrow(_cells(width, span, coded), "id long, th long, pos int, o1 int, o2 int, n int, name long, cover long")
             cells = stored(cells, "cells")
             covers = cells.groupBy("name", "cover").agg(F.sum("n").alias("s"), F.min(F.struct("id", "th", "pos", "o1", "o2")).alias("one"))
             covers = stored(covers, "cell-covers")
@@ -269,19 +303,28 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     return runs.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merged, f"id long, th long, runs {RUNS}")
 
 
-def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text_col: str) -> tuple[DataFrame, str]:
-    """The kept columns of docs, then the runs to cut and the text; and the schema of the kept ones."""
-    spans = stored(repeated_spans(docs, doc_id, text_col), "spans").select(F.col("id").alias("_span_id"), F.col("th").alias("_span_th"), F.col("runs").alias("_span_runs"))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_span_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_span_th"))
-    rows = docs.join(small(spans, 100_000), same, "left").select(*[docs[f"`{c}`"] for c in kept], "_span_runs", docs[f"`{text_col}`"].alias("_span_text"))
+def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text_col: str, words: int = 0) -> tuple[DataFrame, str]:
+    """The kept columns of docs, then the runs to cut (with words, those of words too) and the text; and the schema of the kept ones."""
+    rows, units = docs, [0, words] if words else [0]
+    for k, unit in enumerate(units):
+        spans = stored(repeated_spans(docs, doc_id, text_col, words=unit), "spans").select(F.col("id").alias(f"_span_id{k}"), F.col("th").alias(f"_span_th{k}"), F.col("runs").alias(f"_span_runs{k}"))
+        same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col(f"_span_id{k}")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(f"_span_th{k}"))
+        rows = rows.join(small(spans, 100_000), same, "left")
+    rows = rows.select(*[docs[f"`{c}`"] for c in kept], *[f"_span_runs{k}" for k in range(len(units))], docs[f"`{text_col}`"].alias("_span_text"))
     return rows, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[: len(kept)])
 
 
-def _gone(lists, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+def _gone(lists, raw: np.ndarray, off: np.ndarray, words: bool = False) -> np.ndarray:
     """Which bytes the runs of each text cover."""
     row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets).astype(np.int64)))
     flat = lists.flatten()
-    a, b = (np.asarray(flat.field(k)) + off[row] for k in (0, 1))
+    a, b = (np.asarray(flat.field(k)) for k in (0, 1))
+    if words:  # only whole words; the white space between words of a run goes with them
+        start, end, first = word_bounds(raw, off)
+        a, b = -(-a // WORD) + first[row], b // WORD + first[row]
+        a, b = start[a[a < b]], end[b[a < b] - 1]
+    else:
+        a, b = a + off[row], b + off[row]
     depth = np.bincount(a, minlength=len(raw) + 1).astype(np.int64)
     depth -= np.bincount(b, minlength=len(raw) + 1)
     return np.cumsum(depth)[: len(raw)] > 0
@@ -309,19 +352,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, f"{schema}n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated strings cut out of their texts; bytes of a cut character go with it."""
+def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """docs with repeated strings cut out of their texts, and with words also repeated passages of that many words; bytes of a cut character go with it."""
     kept = [c for c in docs.columns if c != text_col]
-    rows, schema = _with_runs(docs, kept, doc_id, text_col)
+    rows, schema = _with_runs(docs, kept, doc_id, text_col, words)
+    width = len(rows.columns)
 
     def run(batches):
-        for columns, raw, off in _texts_of(batches, len(kept) + 2, "_span_text"):
-            gone = _gone(columns[-2], raw, off)
+        for columns, raw, off in _texts_of(batches, width, "_span_text"):
+            gone = _gone(columns[len(kept)], raw, off)
+            if words:
+                gone |= _gone(columns[-2], raw, off, words=True)
             texts = columns[-1].to_pylist()
             total = np.concatenate([[0], np.cumsum(gone)])[off]
             for i in np.flatnonzero(np.diff(total)).tolist():
                 at = slice(off[i], off[i + 1])
                 texts[i] = raw[at][~gone[at]].tobytes().decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(texts, pa.string())], names=[*kept, text_col])
+            yield pa.RecordBatch.from_arrays([*columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, text_col])
 
     return rows.mapInArrow(run, f"{schema}`{text_col}` string").select(*[F.col(f"`{c}`") for c in docs.columns])

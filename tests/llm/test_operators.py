@@ -199,6 +199,35 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_passages(spark):
+    """Passages of 51 words go, though under 400 bytes; those of 50 stay; so do the cuts of 400 bytes."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghé", k=r.randint(1, 6)))
+    base = [[word() for _ in range(n)] for n in (50, 51, 53, 120)]
+    rows = [(i, " ".join([*(word() for _ in range(r.randint(0, 40))), *base[i % 4], *(word() for _ in range(r.randint(0, 40)))])) for i in range(40)]
+    rows += [(40, "\n\t".join(base[1])), (41, " ".join(base[0])), (42, "x" * 450), (43, "x" * 399), (44, "a " * 60), (45, None), (46, " "), (47, rows[1][1]), (47, rows[1][1]), (48, "日本" * 200), (49, "日本" * 200)]
+    found = {i: list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, t in enumerate(t for _, t in rows)}
+    seen = Counter(tuple(m[0] for m in w[k : k + 51]) for w in found.values() for k in range(len(w) - 50))
+    strings = Counter(b[p : p + 400] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - 399))
+    expected = Counter()
+    for (i, t), w in zip(rows, found.values()):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(w) - 50):
+            if seen[tuple(m[0] for m in w[k : k + 51])] > 1:
+                gone[w[k].start() : w[k + 50].end()] = True
+        for p in range(len(b) - 399):
+            if strings[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        expected[i, bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore") if gone.any() else t] += 1
+    assert expected[41, rows[41][1]] == 1 and expected[40, ""] == 1
+    for hot in (1000, 1):
+        suffix_dedup.HOT, before = hot, suffix_dedup.HOT
+        got = suffix_dedup.dedup_texts(frame(spark, rows), words=51).collect()
+        suffix_dedup.HOT = before
+        assert Counter(map(tuple, got)) == expected
+
+
 def test_pipeline(spark):
     import os
 
