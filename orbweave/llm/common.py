@@ -142,11 +142,14 @@ def _forests(batches):
         yield out()
 
 
+STEPS = 59
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for each node of edges (a, b: long): root is the least node connected with it.
 
     Alternating large-star and small-star steps over the edges, each step's edges stored in the shared folder
-    until they stay the same. Tasks first replace their edges by spanning forests, so hubs shrink before
+    until they stay the same; an error if STEPS steps don't settle them. Tasks first replace their edges by spanning forests, so hubs shrink before
     they are shuffled; nothing but a count and a checksum reaches the driver.
     """
     spark = edges.sparkSession
@@ -156,7 +159,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     current, mark = kept(edges.select("a", "b").filter("a <> b").mapInArrow(_forests, "a long, b long").distinct(), 0)
-    for step in range(1, 60):
+    for step in range(1, STEPS + 1):
         if not mark[0]:
             break
         both = current.union(current.select("b", "a")).toDF("u", "v")
@@ -169,6 +172,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         current, same, mark = following, new == mark, new
         if same:
             break
+    else:
+        raise RuntimeError(f"components of {name} have not settled in {STEPS} steps")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b"), F.col("b")).distinct())
 
 

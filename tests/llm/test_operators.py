@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, decontam, encoder, jaccard, neardup, quality, queries, sharding, suffix_dedup, token_count, token_orc, url_filter
+from orbweave.llm import bpe, common, decontam, encoder, jaccard, neardup, quality, queries, sharding, suffix_dedup, token_count, token_orc, url_filter
 
 pytest.importorskip("public_tokenizers")
 BYTE, WORD = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("word_bpe_49k.json")
@@ -114,6 +114,17 @@ def test_jaccard(spark):
     assert jaccard.similar_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_components_settle_or_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
+    assert {tuple(x) for x in common.components(path, "path").collect()} == {(i, 0) for i in range(41)}
+    common.STEPS, before = 1, common.STEPS
+    try:
+        with pytest.raises(RuntimeError):
+            common.components(path, "path")
+    finally:
+        common.STEPS = before
+
+
 ODD_TEXTS = [None, "", " a  b\n c", "It's THE É é́ Σ ΟΔΟΣ", "<|endoftext|> x <|startoftext|>", "tab\tnbsp zero​\x1c\x85", "日本 123 😀!!", "a" * 3000, "the the the"]
 
 
