@@ -25,7 +25,8 @@ polynomials over random byte values, always compared together with the lead's.
 
 Defined results: null is the empty text; texts under SPAN bytes keep all; rows of one id with equal texts repeat
 each other; byte removal may cut characters, so kept is binary; columns named as an output are replaced.
-Words are what ASCII white space separates; the white space itself may differ between passages.
+Words are what ASCII white space separates; the white space itself may differ between passages, and goes between
+neighbouring words that are both cut, even where one passage ends and the next begins.
 """
 
 from __future__ import annotations
