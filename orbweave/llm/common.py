@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -15,9 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a local session (tests) gets one of its own; a cluster gets an error, for its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,18 +31,99 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orbweave-{name}-{uuid.uuid4().hex}"
 
 
+class _Made(threading.local):
+    """Folders that this thread's operators have stored tables in, oldest first."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage is cut and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables, once nothing reads them again."""
+    for df in tables:
+        fs, path = _folder(df.sparkSession, df.stored_at)
+        fs.delete(path, True)
+        if df.stored_at in _MADE.paths:
+            _MADE.paths.remove(df.stored_at)
+
+
+class tidy:
+    """with tidy(spark) as keep: on leaving, the tables stored since are deleted, but for those given to keep(), which the result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self):
+        self.first = set(_MADE.paths)
+        return self.keep
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.stored_at)
+        return df
 
+    def __exit__(self, *_):
+        for p in [p for p in _MADE.paths if p not in self.first and p not in self.kept]:
+            fs, path = _folder(self.spark, p)
+            fs.delete(path, True)
+            _MADE.paths.remove(p)
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files that a stored DataFrame is read from, once nothing reads it again."""
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes all tables that this thread's operators have stored; results that weren't written yet can't be read any more."""
+    for p in list(_MADE.paths):
+        fs, path = _folder(spark, p)
+        fs.delete(path, True)
+    _MADE.paths.clear()
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a table's bytes, from its files' sizes; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def free_names(taken, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of taken has it, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *outputs: str) -> list[str]:
+    """The columns of df but those that an output replaces, whatever the case."""
+    gone = {c.lower() for c in outputs}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def fields_of(df: DataFrame, columns) -> str:
+    """The schema of some columns as DDL, ending in a comma."""
+    return "".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def col(name: str) -> Column:
+    """A column by its plain name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -79,18 +164,38 @@ def byte_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df for the right side of a join: broadcast if it has at most so many (narrow) rows, else as it is. df is read twice, so it should be stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(c: str, kind) -> str:
+    """SQL: the bytes of a value, about as Spark's rows hold it."""
+    name = kind.typeName()
+    if name in ("string", "binary"):
+        return f"coalesce(octet_length({c}), 0) + 16"
+    if name == "array":
+        inner = kind.elementType
+        if inner.typeName() in ("string", "binary", "array", "struct"):
+            return f"aggregate(coalesce({c}, array()), 16L, (s, x) -> s + {_width('x', inner)})"
+        return f"greatest(size({c}), 0) * {_WIDTH.get(inner.simpleString(), 16)}L + 16"
+    if name == "struct":
+        return "8 + " + " + ".join(f"({_width(f'{c}.`{f.name}`', f.dataType)})" for f in kind)
+    return str(_WIDTH.get(kind.simpleString(), 16))
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table for the right side of a join: broadcast if its files and then its rows, as they are in memory, have at most so many bytes; else as it is, and the join shuffles."""
+    fs, path = _folder(df.sparkSession, df.stored_at)
+    if fs.getContentSummary(path).getLength() > most:
+        return df
+    each = " + ".join(f"({_width(f'`{f.name}`', f.dataType)})" for f in df.schema)
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(f"CAST(16 + {each} AS bigint)"))).first()[0] or 0) <= most else df
 
 
 def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
     """The rows of docs whose id is not in ids, a stored table of one column; null ids stay."""
-    gone = ids.toDF("_gone")
-    return docs.join(small(gone), docs[doc_id] == F.col("_gone"), "left_anti")
+    (name,) = free_names(docs.columns, "gone")
+    return docs.join(small(ids).toDF(name), col(doc_id) == F.col(name), "left_anti")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -152,8 +257,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     until they stay the same; an error if STEPS steps don't settle them. Tasks first replace their edges by spanning forests, so hubs shrink before
     they are shuffled; nothing but a count and a checksum reaches the driver.
     """
-    spark = edges.sparkSession
-
     def kept(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
         df = stored(df, f"{name}-{step}")
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -168,7 +271,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         other = large.join(low.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         following, new = kept(low.select("a", F.col("m").alias("b")).union(other).distinct(), step)
-        dropped(spark, current)
+        dropped(current)
         current, same, mark = following, new == mark, new
         if same:
             break

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ascii_lower, stored, without
+from orbweave.llm.common import ascii_lower, col, stored, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, WINDOW = 5, 6
@@ -52,7 +52,7 @@ def _winnowed(df: DataFrame, words: str, out: str, short: list[int]) -> DataFram
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, hits (disjoint runs [from, upto) of hit words), items (item ids, sorted as strings), n_hit, n_items; a row for each row of docs."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("iw")).filter("size(iw) > 0")
+    items = benchmark.select(col(item_id).cast("string").alias("item"), words_of(col(item_text)).alias("iw")).filter("size(iw) > 0")
     lengths = sorted(r[0] for r in items.filter(F.size("iw") < SHORTEST).select(F.size("iw")).distinct().collect())  # nine at most
     marks = _winnowed(items.filter(F.size("iw") >= SHORTEST), "iw", "f", [])
     marks = marks.select("item", "iw", F.explode_outer("f").alias("f"))
@@ -66,7 +66,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     marks = marks.select(F.col("f.gram").alias("gram"), F.col("f.n").alias("n"), "item", context("iw", "f.at").alias("ic")).distinct().groupBy("gram", "n", "ic").agg(F.collect_set("item").alias("item"))
     small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    words = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_col).alias("_h"), words_of(F.col(text_col)).alias("w"))
+    words = docs.select(col(doc_id).alias("id"), F.xxhash64(col(text_col)).alias("_h"), words_of(col(text_col)).alias("w"))
     probes = _winnowed(words, "w", "f", lengths)
     # the first entry stands for the row itself; explode() would make Spark push a filter with all that f is made of into the scan
     probes = probes.select("id", "_h", "w", F.explode_outer(F.expr("concat(array(struct(-1 AS at, 0 AS n, CAST(0 AS bigint) AS gram)), f)")).alias("f"))
@@ -94,5 +94,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id has a window of an item; rows without an id stay."""
-    bad = find_contamination(docs.select(doc_id, text_col), benchmark, doc_id, text_col).filter("n_hit > 0").select(doc_id).distinct()
+    bad = find_contamination(docs.select(col(doc_id), col(text_col)), benchmark, doc_id, text_col).filter("n_hit > 0").select(col(doc_id)).distinct()
     return without(docs, stored(bad, "contaminated"), doc_id)
