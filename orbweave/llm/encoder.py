@@ -1,29 +1,79 @@
 """Whole texts to token ids with the tokenizers library, each distinct piece encoded once.
 
-The byte-level pre-tokenizer always ends a pre-token before a space that a non-space follows, so a text cut
-there encodes piece by piece to the same ids. Pieces repeat far more often than they differ; a bounded
-cache holds their ids from one batch to the next. Texts that hold the string of a special token go to
-the library whole.
+The byte-level pre-tokenizer parts a text at places that the bytes around them prove. Texts are cut there, as
+arrays of bytes, and encode piece by piece to the same ids:
+
+* before a white space byte that a visible character follows (only the last of a run of white space goes with
+  what follows, and then only a space);
+* before a visible character after a white space byte other than a space;
+* after an ASCII letter, before ASCII punctuation other than an apostrophe, or a line break.
+
+Visible are ASCII characters from '!' to '~' and those whose first byte no white space character begins with;
+other places are left uncut, which is always right. Pieces are known by 64-bit fingerprints together with their
+length and repeat far more often than they differ; a bounded hash table holds their ids from one batch to the
+next. Texts that hold the string of a special token go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
-
-CACHED_IDS = 3_000_000
-CUT = re.compile(r" (?=\S)").split
-
-
-class _Codes(dict):
-    def __init__(self, learn):
-        self.learn = learn
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = code = self.learn(piece)
-        return code
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from orbweave.llm.common import ODD, Prints, byte_view
+
+SLOTS = 1 << 21  # of the table of pieces: 24 MB; at most half of them are used
+CACHED_IDS = 4_000_000
+_BYTES = np.arange(256)
+BLANK = np.isin(_BYTES, [32, 9, 10, 13])
+VISIBLE = ((_BYTES > 32) & (_BYTES < 127)) | ((_BYTES >= 0xC3) & ~np.isin(_BYTES, [0xE1, 0xE2, 0xE3]))
+LETTER = np.isin(_BYTES | 32, np.arange(97, 123)) & (_BYTES < 128)
+CLOSES = ((_BYTES > 32) & (_BYTES < 127) & ~LETTER & ~np.isin(_BYTES, [39, *range(48, 58)])) | (_BYTES == 10)
+
+
+def piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts raw[off[i]:off[i+1]] begin."""
+    new = np.zeros(len(raw) + 1, bool)
+    if len(raw):
+        shown, blank = VISIBLE[raw], BLANK[raw]
+        new[:-2] = blank[:-1] & shown[1:]
+        new[off[1:] - 1] = False  # what follows stands in another text (of an empty first text, this is the unused last place)
+        new[1:-1] |= (blank & (raw != 32))[:-1] & shown[1:]
+        new[1:-1] |= LETTER[raw][:-1] & CLOSES[raw][1:]
+    new[off] = True
+    new[len(raw)] = False
+    return np.flatnonzero(new)
+
+
+class Table:
+    """Codes of 64-bit keys, by open addressing; all steps work on arrays."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.keys, self.codes, self.mask = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.uint64(slots - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The code of each key, -1 where it has none."""
+        out = np.full(len(keys), -1, np.int32)
+        row, slot = np.arange(len(keys)), keys & self.mask
+        while len(row):
+            there = self.keys[slot]
+            hit = there == keys
+            out[row[hit]] = self.codes[slot[hit]]
+            on = ~hit & (there != 0)
+            row, keys, slot = row[on], keys[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        """Adds distinct new keys."""
+        slot = keys & self.mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            own = self.keys[slot] == keys  # of several for one slot, one got it
+            self.codes[slot[own]] = codes[own]
+            keys, codes, slot = keys[~own], codes[~own], (slot[~own] + np.uint64(1)) & self.mask
 
 
 class PieceEncoder:
@@ -39,67 +89,84 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.head, self.tail = _Codes(self.whole), _Codes(self.after_space)
-        self.alone: list[str] = []  # texts and first pieces to encode, and their codes
-        self.alone_codes: list[int] = []
-        self.joined: list[str] = []  # pieces after a space, and theirs
-        self.joined_codes: list[int] = []
+        self.table = Table()
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.codes = 0
-
-    def whole(self, piece: str) -> int:
-        self.alone.append(piece)
-        self.alone_codes.append(self.codes)
-        self.codes += 1
-        return self.codes - 1
-
-    def after_space(self, piece: str) -> int:
-        self.joined.append(" " + piece)
-        self.joined_codes.append(self.codes)
-        self.codes += 1
-        return self.codes - 1
-
-    def _learn(self) -> None:
-        """Pieces after a space are encoded as one text, and its ids part where their bytes do; the others one by one."""
-        flats, codes, lengths = [self.flat], [*self.joined_codes, *self.alone_codes], []
-        for k in range(0, len(self.joined), 20_000):
-            pieces = self.joined[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
-            lengths.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
+
+    def _library(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        flats, lengths = [], []
+        for k in range(0, len(texts), 2_000):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + 2_000], add_special_tokens=False):
+                flats.append(np.array(e.ids, np.int32))
+                lengths.append(len(flats[-1]))
+        return flats, lengths
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> None:
+        """Adds pieces. Those that begin with a space are encoded as one text, and its ids part where their bytes do; the others one by one."""
+        spaced = (raw[start] == 32) & (end - start > 1)
+        spaced[spaced] = VISIBLE[raw[start[spaced] + 1]]
+        first, flats, lengths = len(self.length), [self.flat], []
+        joined = np.flatnonzero(spaced)
+        for k in range(0, len(joined), 20_000):
+            own = joined[k : k + 20_000]
+            size = end[own] - start[own]
+            text = gathered(raw, start, end - start, own).tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(size)) + 1, prepend=0))
             flats.append(ids)
-        for k in range(0, len(self.alone), 2_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(self.alone[k : k + 2_000], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flats.append(np.fromiter((x for g in got for x in g), np.int32, int(lengths[-1].sum())))
-        n = np.concatenate(lengths)
-        start, length = np.zeros(self.codes, np.int64), np.zeros(self.codes, np.int64)
-        start[: len(self.start)], length[: len(self.length)] = self.start, self.length
-        start[codes], length[codes] = len(self.flat) + np.cumsum(n) - n, n
-        self.flat, self.start, self.length = np.concatenate(flats), start, length
-        self.alone, self.alone_codes, self.joined, self.joined_codes = [], [], [], []
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        alone = np.flatnonzero(~spaced)
+        data = raw.tobytes() if len(alone) else b""
+        got, sizes = self._library([data[a:b].decode() for a, b in zip(start[alone].tolist(), end[alone].tolist())])
+        n = np.concatenate([*lengths, np.array(sizes, np.int64)])
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.flat = np.concatenate([*flats, *got])
+        self.table.put(key[np.concatenate([joined, alone])], np.arange(first, len(self.length), dtype=np.int32))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
-        if len(self.flat) > CACHED_IDS:
-            self.clear()
-        used: list[int] = []
-        ends = np.zeros(len(texts), np.int64)
-        tail = self.tail.__getitem__
-        for i, t in enumerate(texts):
-            if t:
-                if any(s in t for s in self.special):
-                    used.append(self.whole(t))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= np.asarray(pc.fill_null(pc.match_substring(texts, s), False))
+        if whole.any():  # in runs, each of one kind
+            cuts = [0, *(np.flatnonzero(np.diff(whole)) + 1).tolist(), len(texts)]
+            parts = []
+            for a, b in zip(cuts, cuts[1:]):
+                if whole[a]:
+                    got, sizes = self._library(texts.slice(a, b - a).to_pylist())
+                    parts.append((np.concatenate(got), np.array(sizes, np.int64)))
                 else:
-                    pieces = CUT(t)
-                    used.append(self.head[pieces[0]])
-                    used.extend(map(tail, pieces[1:]))
-            ends[i] = len(used)
-        if self.alone or self.joined:
-            self._learn()
-        code = np.array(used, np.int64)
-        upto = np.concatenate([[0], np.cumsum(self.length[code])])[ends]
-        return gathered(self.flat, self.start, self.length, code), np.diff(upto, prepend=0)
+                    parts.append(self._pieces(texts.slice(a, b - a)))
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return self._pieces(texts)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, off = byte_view(texts)
+        raw, off = raw[off[0] : off[-1]], off - off[0]
+        start = piece_starts(raw, off)
+        end = np.append(start[1:], len(raw))
+        key = Prints(raw).of(start, end) ^ ((end - start).astype(np.uint64) * ODD[4])
+        key[key == 0] = 1
+        if len(self.length) > SLOTS // 2 - len(key) or len(self.flat) > CACHED_IDS:
+            self.clear()
+        if len(key) > SLOTS // 2:  # a text of many megabytes; its own pieces could overfill the table
+            half = len(texts) // 2
+            if half:
+                one, two = self._pieces(texts.slice(0, half)), self._pieces(texts.slice(half))
+                return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+            self.table = Table(1 << (2 * len(key)).bit_length())
+            self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code = self.table.find(key)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            distinct, one = np.unique(key[new], return_index=True)
+            self._learn(raw, start[new[one]], end[new[one]], distinct)
+            code[new] = self.table.find(key[new])
+        upto = np.concatenate([[0], np.cumsum(self.length[code])])[np.searchsorted(start, off)]
+        ids = gathered(self.flat, self.start, self.length, code)
+        if len(self.table.keys) > SLOTS:
+            self.clear()
+        return ids, np.diff(upto)
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -122,8 +189,6 @@ def encoder(path: str) -> PieceEncoder:
 
 def sliced(batch, column: str, most: int = 1 << 18):
     """Runs of rows of an Arrow batch with about most bytes of text each, so that memory follows no batch size."""
-    import pyarrow.compute as pc
-
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     group = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]

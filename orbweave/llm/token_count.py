@@ -34,7 +34,7 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
             for batch in sliced(whole, "text", 4 << 20):
                 raw, off = byte_view(batch.column("text"))
                 raw, off = raw[off[0] : off[-1]], off - off[0]
-                ids, _ = enc.encode(batch.column("text").to_pylist())
+                ids, _ = enc.encode(batch.column("text"))
                 ends = np.unique(np.concatenate([np.flatnonzero(raw == ord(separator)) + 1, off[1:]]))
                 ends = ends[ends > 0]
                 size = enc.n_bytes[ids]
