@@ -78,10 +78,10 @@ def test_near_duplicates(spark):
     centres = rng.normal(size=(9, 4))
     rows = [(i, [float(x) for x in centres[rng.integers(9)] + rng.normal(size=4) * rng.choice([0, 0.02, 0.2])]) for i in range(500)]
     rows += [(500 + i, v) for i, v in enumerate([None, [], [0.0] * 4, [math.nan] * 4, [math.inf, 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0], [1e200] * 4, [1.0, 2.0], [2.0, 4.0]])]
-    for block in (8192, 60):
-        neardup.BLOCK, before = block, neardup.BLOCK
+    for block in (2 << 20, 960):
+        neardup.BLOCK_BYTES, before = block, neardup.BLOCK_BYTES
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-        neardup.BLOCK = before
+        neardup.BLOCK_BYTES = before
         good = [(i, np.array(v) / np.abs(v).max()) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
         link = {i: {j for j, w in good if len(w) == len(v) and j != i and v @ w >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)} for i, v in good}
         for i, _ in rows:
