@@ -24,7 +24,8 @@ Strings are judged on the input; overlapping occurrences and those in one text c
 polynomials over random byte values, always compared together with the lead's.
 
 Defined results: null is the empty text; texts under SPAN bytes keep all; rows of one id with equal texts repeat
-each other; byte removal may cut characters, so kept is binary; columns named as an output are replaced.
+each other; ids may be of any type, null too; byte removal may cut characters, so kept is binary; columns named as
+an output, in any case, are replaced; an empty table gives an empty table.
 Words are what ASCII white space separates; the white space itself may differ between passages, and goes between
 neighbouring words that are both cut, even where one passage ends and the next begins.
 """
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ODD, Prints, byte_view, mixed, small, small_batches, stored, trim
+from orbweave.llm.common import ODD, Prints, byte_view, col, fields_of, free_names, mixed, others, small, small_batches, stored, tidy, trim
 from orbweave.llm.encoder import sliced
 
 SPAN, LEAD, HOT = 400, 64, 1000
@@ -251,14 +252,14 @@ def _merged(batches):
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", span: int = SPAN, words: int = 0) -> DataFrame:
-    """(id, th, runs): for texts (th: their xxhash64) with repeats, the disjoint runs [a, b) of bytes that repeated strings of span bytes cover, in order.
+    """(id, th, runs): for rows (id and th: xxhash64 of their id and text) with repeats, the disjoint runs [a, b) of bytes that repeated strings of span bytes cover, in order.
 
     With words, the strings have that many words instead, and runs are places in the codes of the text's words."""
     span, coded, least = (words * WORD, True, 2 * words - 1) if words else (span, False, span)
     if span < 2 * LEAD:
         raise ValueError(f"a span has {2 * LEAD} bytes or {2 * LEAD // WORD} words at least")
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= least)
+    texts = docs.select(F.xxhash64(col(doc_id)).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).alias("text")).filter(F.octet_length("text") >= least)
     posts = stored(texts.mapInArrow(_post(span, coded), ANCHOR), "anchors")
     leads = stored(posts.groupBy("lead").agg(F.sum("m").alias("s")).filter("s > 1").select(F.col("lead").alias("k")), "leads")
     shared = stored(posts.join(small(leads), F.col("lead") == F.col("k"), "left_semi"), "shared")
@@ -281,7 +282,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
 
     def with_text(rows: DataFrame, *fields: str) -> DataFrame:
         by_text = stored(rows.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*fields)).alias("wanted")), "wanted")
-        return texts.join(small(by_text, 100_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "wanted", "text")
+        return texts.join(small(by_text), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "wanted", "text")
 
     carried = with_text(ranged, "pos", "o1", "o2", "part", "lead", "n").mapInArrow(_carry(span, coded), "id long, th long, pos int, o1 int, o2 int, part int, lead long, n int, bytes binary")
     n_parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
@@ -305,14 +306,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
 
 
 def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text_col: str, words: int = 0) -> tuple[DataFrame, str]:
-    """The kept columns of docs, then the runs to cut (with words, those of words too) and the text; and the schema of the kept ones."""
-    rows, units = docs, [0, words] if words else [0]
-    for k, unit in enumerate(units):
-        spans = stored(repeated_spans(docs, doc_id, text_col, words=unit), "spans").select(F.col("id").alias(f"_span_id{k}"), F.col("th").alias(f"_span_th{k}"), F.col("runs").alias(f"_span_runs{k}"))
-        same = docs[f"`{doc_id}`"].cast("long").eqNullSafe(F.col(f"_span_id{k}")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(f"_span_th{k}"))
-        rows = rows.join(small(spans, 100_000), same, "left")
-    rows = rows.select(*[docs[f"`{c}`"] for c in kept], *[f"_span_runs{k}" for k in range(len(units))], docs[f"`{text_col}`"].alias("_span_text"))
-    return rows, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[: len(kept)])
+    """The kept columns of docs, then the runs to cut (with words, those of words too) and the text, as the last column; and its name."""
+    rows, units, text = docs, [0, words] if words else [0], free_names(docs.columns, "text")[0]
+    lists = []
+    with tidy(docs.sparkSession) as keep:
+        for unit in units:
+            spans = keep(stored(repeated_spans(docs, doc_id, text_col, words=unit), "spans"))
+            names = free_names([*docs.columns, text, *rows.columns], "span_id", "span_th", "span_runs")
+            lists.append(names[2])
+            same = (F.xxhash64(docs[f"`{doc_id}`"]) == F.col(names[0])) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(names[1]))
+            rows = rows.join(small(spans).toDF(*names), same, "left")
+    return rows.select(*[docs[f"`{c}`"] for c in kept], *lists, docs[f"`{text_col}`"].alias(text)), text
 
 
 def _gone(lists, raw: np.ndarray, off: np.ndarray, words: bool = False) -> np.ndarray:
@@ -331,14 +335,25 @@ def _gone(lists, raw: np.ndarray, off: np.ndarray, words: bool = False) -> np.nd
     return np.cumsum(depth)[: len(raw)] > 0
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay); the text goes unless keep_text."""
-    kept = [c for c in docs.columns if c not in OUTPUTS and (keep_text or c != text_col)]
-    rows, schema = _with_runs(docs, kept, doc_id, text_col)
+def _words_in(lists) -> np.ndarray:
+    """How many whole words the runs of each row's codes cover."""
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets).astype(np.int64)))
+    a, b = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
+    return np.bincount(row, weights=np.maximum(0, b // WORD + -a // WORD), minlength=len(lists)).astype(np.int64)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", keep_text: bool = False, words: int = 0) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay); the text goes unless keep_text.
+
+    With words, also n_passage_words: how many words lie in passages of so many words that start elsewhere too. These are counted only, not cut."""
+    outputs = OUTPUTS + ("n_passage_words",) * bool(words)
+    kept = [c for c in others(docs, *outputs) if keep_text or c != text_col]
+    rows, text = _with_runs(docs, kept, doc_id, text_col, words)
+    schema, width = fields_of(docs, kept), len(rows.columns)
 
     def run(batches):
-        for columns, raw, off in _texts_of(batches, len(kept) + 1, "_span_text"):
-            gone = _gone(columns[-1], raw, off)
+        for columns, raw, off in _texts_of(batches, width - 1, text):
+            gone = _gone(columns[len(kept)], raw, off)
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
             first = off[:-1][off[:-1] < len(raw)]
@@ -346,21 +361,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
             total, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, starts))
             data = raw[~gone].tobytes()
             cut = (off - total[off]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*columns[:-1], pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(np.diff(spans[off])), pa.array([data[x:y] for x, y in zip(cut, cut[1:])], pa.binary())], names=[*kept, *OUTPUTS]
-            )
+            found = [pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(np.diff(spans[off])), pa.array([data[x:y] for x, y in zip(cut, cut[1:])], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns[: len(kept)], *found, *[pa.array(_words_in(x)) for x in columns[len(kept) + 1 :]]], names=[*kept, *outputs])
 
-    return rows.mapInArrow(run, f"{schema}n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(run, f"{schema}n_bytes long, n_removed long, n_spans long, kept binary" + ", n_passage_words long" * bool(words))
 
 
 def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
     """docs with repeated strings cut out of their texts, and with words also repeated passages of that many words; bytes of a cut character go with it."""
     kept = [c for c in docs.columns if c != text_col]
-    rows, schema = _with_runs(docs, kept, doc_id, text_col, words)
+    rows, text = _with_runs(docs, kept, doc_id, text_col, words)
     width = len(rows.columns)
 
     def run(batches):
-        for columns, raw, off in _texts_of(batches, width, "_span_text"):
+        for columns, raw, off in _texts_of(batches, width, text):
             gone = _gone(columns[len(kept)], raw, off)
             if words:
                 gone |= _gone(columns[-2], raw, off, words=True)
@@ -371,4 +385,4 @@ def dedup_texts(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text",
                 texts[i] = raw[at][~gone[at]].tobytes().decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([*columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, text_col])
 
-    return rows.mapInArrow(run, f"{schema}`{text_col}` string").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.mapInArrow(run, f"{fields_of(docs, kept)}{fields_of(docs, [text_col])[:-2]}").select(*[col(c) for c in docs.columns])
