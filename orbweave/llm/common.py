@@ -39,6 +39,12 @@ class _Made(threading.local):
 
 
 _MADE = _Made()
+FEW = 4
+
+
+def condensed(df: DataFrame, name: str) -> DataFrame:
+    """stored() for what a shuffle has made much smaller than its input: several partitions go to one file, so that many partitions don't make many tiny files. Tasks still take one partition after another, and there are FEW times as many tasks as cores."""
+    return stored(df.coalesce(FEW * df.sparkSession.sparkContext.defaultParallelism), name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -164,7 +170,7 @@ def byte_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 48 << 20
 _WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
 
 
@@ -184,10 +190,12 @@ def _width(c: str, kind) -> str:
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A stored table for the right side of a join: broadcast if its files and then its rows, as they are in memory, have at most so many bytes; else as it is, and the join shuffles."""
-    fs, path = _folder(df.sparkSession, df.stored_at)
-    if fs.getContentSummary(path).getLength() > most:
-        return df
+    """A stored table, or a selection of one, for the right side of a join: broadcast if its files (where it is a stored table) and then its rows, as they are in memory, have at most so many bytes; else as it is, and the join shuffles."""
+    at = getattr(df, "stored_at", None)
+    if at:
+        fs, path = _folder(df.sparkSession, at)
+        if fs.getContentSummary(path).getLength() > most:
+            return df
     each = " + ".join(f"({_width(f'`{f.name}`', f.dataType)})" for f in df.schema)
     return F.broadcast(df) if (df.agg(F.sum(F.expr(f"CAST(16 + {each} AS bigint)"))).first()[0] or 0) <= most else df
 
@@ -258,7 +266,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     they are shuffled; nothing but a count and a checksum reaches the driver.
     """
     def kept(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
-        df = stored(df, f"{name}-{step}")
+        df = condensed(df, f"{name}-{step}")
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     current, mark = kept(edges.select("a", "b").filter("a <> b").mapInArrow(_forests, "a long, b long").distinct(), 0)

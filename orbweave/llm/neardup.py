@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import col, components, forest, small, stored, tidy, trim
+from orbweave.llm.common import col, components, condensed, forest, small, stored, tidy, trim
 
 LINK = 0.95
 BLOCK_BYTES, TILE, PIVOTS, SAMPLE = 2 << 20, 4, 512, 2048
@@ -300,17 +300,17 @@ def _near_duplicates(vectors: DataFrame, vec_id: str, column: str, keep) -> Data
     gap = F.expr("sqrt(aggregate(zip_with(middle, middle2, (x, y) -> (x - y) * (x - y)), 0D, (a, x) -> a + x))")
     pairs = pairs.filter((F.col("cell") != F.col("cell2")) | (F.col("block") <= F.col("block2"))).filter(gap <= F.col("radius") + F.col("radius2") + F.lit(reach(LINK) + SLACK))
     tile = F.struct(F.floor(F.col("block") / TILE).cast("int").alias("x"), F.floor(F.col("block2") / TILE).cast("int").alias("y")).alias("tile")
-    pairs = stored(pairs.select("block", "block2", tile), "pairs")
+    pairs = condensed(pairs.select("block", "block2", tile), "pairs")
     sent = pairs.select("tile", "block", F.col("block2").alias("other")).union(pairs.select("tile", F.col("block2").alias("block"), F.lit(None).cast("int")))
-    sent = stored(sent.groupBy("tile", "block").agg(F.collect_list("other").alias("others")), "sent")
+    sent = condensed(sent.groupBy("tile", "block").agg(F.collect_list("other").alias("others")), "sent")
     met = blocks.select("block", "blob").join(small(sent), "block").groupBy("tile").applyInArrow(_tile, "kind tinyint, a long, b long")
     met = stored(met, "met")
     linked = met.filter("kind = 0").groupBy(F.col("a").alias("r")).agg(F.sum("b").alias("s"))
     found = components(met.filter("kind = 1").select("a", "b"), "near")
     named = distinct.select("k", "l", "rep", "least").join(linked, F.col("rep") == F.col("r"), "left").join(found, F.col("rep") == F.col("node"), "left")
-    named = stored(named.select("k", "l", "least", (F.coalesce("s", F.lit(1)) - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
+    named = condensed(named.select("k", "l", "least", (F.coalesce("s", F.lit(1)) - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = keep(stored(named.join(least, "root").select(F.col("k").alias("k2"), F.col("l").alias("l2"), "n_links", "component_id"), "components"))
+    named = keep(condensed(named.join(least, "root").select(F.col("k").alias("k2"), F.col("l").alias("l2"), "n_links", "component_id"), "components"))
     keyed = rows.select("id", F.when(usable, F.xxhash64("v")).alias("k"), F.when(usable, F.xxhash64(F.lit(1), "v")).alias("l"))
     out = keyed.join(small(named), (F.col("k") == F.col("k2")) & (F.col("l") == F.col("l2")), "left")
     alone = F.when(F.col("k2").isNull(), F.col("id")).otherwise(F.col("component_id"))
