@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ODD, Prints, byte_view, col, fields_of, free_names, mixed, others, small, small_batches, stored, tidy, trim
+from orbweave.llm.common import ODD, Prints, byte_view, col, condensed, dropped, fields_of, free_names, mixed, others, small, small_batches, stored, tidy, trim
 from orbweave.llm.encoder import sliced
 
 SPAN, LEAD, HOT = 400, 64, 1000
@@ -46,8 +46,7 @@ CELLS = (85, 9, 1)
 WORD = 8  # bytes of a word's code
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
 RUNS = "array<struct<a:long,b:long>>"
-ANCHOR = f"id long, th long, pos int, o1 int, o2 int, first long, lead long, cover long, m int, more {RUNS}"
-RUN = "id long, th long, a long, b long"
+ANCHOR = f"id long, th long, unit tinyint, pos int, o1 int, o2 int, first long, lead long, cover long, m int, more {RUNS}"
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -86,16 +85,18 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, off)
 
 
-def _texts_of(batches, columns: int, name: str = "text", words: bool = False):
-    """Slices of batches (..., text): the other columns, the bytes (or codes of words) and the offsets."""
+def word_codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all words, as bytes, and the offsets of each text in these."""
+    start, end, first = word_bounds(raw, off)
+    return Prints(raw).of(start, end).astype("<u8").view(np.uint8), first * WORD
+
+
+def _texts_of(batches, columns: int, name: str = "text"):
+    """Slices of batches (..., text): the other columns, the bytes and the offsets."""
     for whole in batches:
         for b in sliced(whole, name):
             raw, off = byte_view(b.column(name))
-            raw, off = raw[off[0] : off[-1]], off - off[0]
-            if words:
-                start, end, off = word_bounds(raw, off)
-                raw, off = Prints(raw).of(start, end).astype("<u8").view(np.uint8), off * WORD
-            yield [b.column(i) for i in range(columns)], raw, off
+            yield [b.column(i) for i in range(columns)], raw[off[0] : off[-1]], off - off[0]
     trim()
 
 
@@ -106,54 +107,66 @@ def _first_bytes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _post(span: int, words: bool):
+def _post(spans: list[int]):
+    """Anchors of the texts' bytes (unit 0) and, with a second span, of the codes of their words (unit 1)."""
+
+    def rows(unit: int, ids, ths, raw, off):
+        span, prints = spans[unit], Prints(raw)
+        doc, at, p1, p2 = anchors(raw, off, prints, span)
+        if not len(doc):
+            return
+        lead = prints.of(at, at + LEAD) ^ (ODD[4] * np.uint64(unit))
+        cover = mixed(prints.of(p1, p2 + span) + (at - p1).astype(np.uint64) * ODD[3])
+        order = np.lexsort((cover, lead, doc))  # stable: equal anchors stay in the order of their text
+        doc, at, p1, p2, lead, cover = (x[order] for x in (doc, at, p1, p2, lead, cover))
+        head = np.concatenate([[True], (np.diff(doc) != 0) | (lead[1:] != lead[:-1]) | (cover[1:] != cover[:-1])])
+        one = np.flatnonzero(head)
+        m = np.diff(np.append(one, len(doc)))
+        a, b = p1 - off[doc], p2 - off[doc] + span
+        apart = head.copy()
+        apart[1:] |= a[1:] > b[:-1]
+        new = np.flatnonzero(apart & np.repeat(m > 1, m))
+        end = np.append(np.flatnonzero(apart)[1:], len(doc))[np.cumsum(apart)[new] - 1] - 1
+        parts = np.concatenate([[0], np.cumsum(np.bincount((np.cumsum(head) - 1)[new], minlength=len(one)))]).astype(np.int32)
+        more = pa.ListArray.from_arrays(pa.array(parts), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(b[end])], names=["a", "b"]))
+        doc, at, p1, p2, lead, cover = (x[one] for x in (doc, at, p1, p2, lead, cover))
+        row = pa.array(doc)
+        values = (np.full(len(doc), unit, np.int8), (at - off[doc]).astype(np.int32), (at - p2).astype(np.int32), (at - p1).astype(np.int32), _first_bytes(raw, at), lead.view(np.int64), cover.view(np.int64), m.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([ids.take(row), ths.take(row), *map(pa.array, values), more], names=["id", "th", "unit", "pos", "o1", "o2", "first", "lead", "cover", "m", "more"])
+
     def run(batches):
-        for (ids, ths), raw, off in _texts_of(batches, 2, words=words):
-            prints = Prints(raw)
-            doc, at, p1, p2 = anchors(raw, off, prints, span)
-            if len(doc):
-                lead = prints.of(at, at + LEAD)
-                cover = mixed(prints.of(p1, p2 + span) + (at - p1).astype(np.uint64) * ODD[3])
-                order = np.lexsort((cover, lead, doc))  # stable: equal anchors stay in the order of their text
-                doc, at, p1, p2, lead, cover = (x[order] for x in (doc, at, p1, p2, lead, cover))
-                head = np.concatenate([[True], (np.diff(doc) != 0) | (lead[1:] != lead[:-1]) | (cover[1:] != cover[:-1])])
-                one = np.flatnonzero(head)
-                m = np.diff(np.append(one, len(doc)))
-                a, b = p1 - off[doc], p2 - off[doc] + span
-                apart = head.copy()
-                apart[1:] |= a[1:] > b[:-1]
-                new = np.flatnonzero(apart & np.repeat(m > 1, m))
-                end = np.append(np.flatnonzero(apart)[1:], len(doc))[np.cumsum(apart)[new] - 1] - 1
-                parts = np.concatenate([[0], np.cumsum(np.bincount((np.cumsum(head) - 1)[new], minlength=len(one)))]).astype(np.int32)
-                more = pa.ListArray.from_arrays(pa.array(parts), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(b[end])], names=["a", "b"]))
-                doc, at, p1, p2, lead, cover = (x[one] for x in (doc, at, p1, p2, lead, cover))
-                row = pa.array(doc)
-                values = ((at - off[doc]).astype(np.int32), (at - p2).astype(np.int32), (at - p1).astype(np.int32), _first_bytes(raw, at), lead.view(np.int64), cover.view(np.int64), m.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.take(row), ths.take(row), *map(pa.array, values), more], names=["id", "th", "pos", "o1", "o2", "first", "lead", "cover", "m", "more"])
+        for (ids, ths), raw, off in _texts_of(batches, 2):
+            yield from rows(0, ids, ths, raw, off)
+            if len(spans) > 1:
+                yield from rows(1, ids, ths, *word_codes(raw, off))
 
     return run
 
 
-def _wanted(lists, off) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The structs of a list column: text number and fields, with places in the slice."""
-    parts = np.asarray(lists.offsets).astype(np.int64)
-    row = np.repeat(np.arange(len(lists)), np.diff(parts))
-    flat = lists.flatten()
-    got = {f.name: np.asarray(flat.field(i)) for i, f in enumerate(flat.type)}
-    got["at"] = off[row] + got["pos"]
-    return row, got
+def _wanted(batches):
+    """For each slice of texts (id, th, wanted, text) and each unit that is wanted of it: ids, ths, bytes (or codes), text number and fields of the wanted structs, with places in the slice."""
+    for (ids, ths, lists), raw, off in _texts_of(batches, 3):
+        parts = np.asarray(lists.offsets).astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), np.diff(parts))
+        flat = lists.flatten()
+        got = {f.name: np.asarray(flat.field(i)) for i, f in enumerate(flat.type)}
+        for unit in np.unique(got["unit"]).tolist():
+            own = np.flatnonzero(got["unit"] == unit)
+            of, w = row[own], {k: v[own] for k, v in got.items()}
+            data, place = word_codes(raw, off) if unit else (raw, off)
+            w["at"] = place[of] + w["pos"]
+            yield ids, ths, data, of, w
 
 
-def _carry(span: int, words: bool):
+def _carry(spans: list[int]):
     """Anchors with the bytes that their windows cover."""
 
     def run(batches):
-        for (ids, ths, lists), raw, off in _texts_of(batches, 3, words=words):
-            row, w = _wanted(lists, off)
-            data = memoryview(raw.tobytes())
+        for ids, ths, raw, row, w in _wanted(batches):
+            data, span = memoryview(raw.tobytes()), spans[w["unit"][0]]
             texts = [data[a:b] for a, b in zip((w["at"] - w["o2"]).tolist(), (w["at"] - w["o1"] + span).tolist())]
             r = pa.array(row)
-            yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *[pa.array(w[k]) for k in ("pos", "o1", "o2", "part", "lead", "n")], pa.array(texts, pa.binary())], names=["id", "th", "pos", "o1", "o2", "part", "lead", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *[pa.array(w[k]) for k in ("unit", "pos", "o1", "o2", "part", "lead", "n")], pa.array(texts, pa.binary())], names=["id", "th", "unit", "pos", "o1", "o2", "part", "lead", "n", "bytes"])
 
     return run
 
@@ -165,8 +178,9 @@ def _windows(o1: np.ndarray, o2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, o2[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
 
 
-def _compare(span: int):
+def _compare(spans: list[int]):
     """Sorted suffixes: the runs [a, b) of bytes that repeated windows cover, for anchors that stand alone."""
+    spans = np.array(spans)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -175,10 +189,11 @@ def _compare(span: int):
         def settle(rows: pa.RecordBatch):
             pos, o1, o2, lead, n = (np.asarray(rows.column(k)).astype(np.int64) for k in ("pos", "o1", "o2", "lead", "n"))
             raw = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
+            span = spans[np.asarray(rows.column("unit"))]
             off = np.cumsum(o2 - o1 + span) - (o2 - o1 + span)
             row, o = _windows(o1, o2)
             start = off[row] + o2[row] - o
-            name = mixed(Prints(raw).of(start, start + span) + o.astype(np.uint64) * ODD[2] + lead.view(np.uint64)[row] * ODD[3])
+            name = mixed(Prints(raw).of(start, start + span[row]) + o.astype(np.uint64) * ODD[2] + lead.view(np.uint64)[row] * ODD[3])
             _, which = np.unique(name, return_inverse=True)
             again = (np.bincount(which, weights=n[row])[which] >= 2) & (n[row] == 1)
             at = np.flatnonzero(again)
@@ -186,9 +201,9 @@ def _compare(span: int):
                 return
             cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0))
             lo, hi = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-            a, b = pos[row[lo]] - o[lo], pos[row[lo]] - o[hi] + span
+            a, b = pos[row[lo]] - o[lo], pos[row[lo]] - o[hi] + span[row[lo]]
             r = pa.array(row[lo])
-            yield pa.RecordBatch.from_arrays([rows.column("id").take(r), rows.column("th").take(r), pa.array(a), pa.array(b)], names=["id", "th", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(k).take(r) for k in ("id", "th", "unit")], pa.array(a), pa.array(b)], names=["id", "th", "unit", "a", "b"])
 
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
@@ -210,12 +225,12 @@ def _compare(span: int):
     return run
 
 
-def _cells(width: int, span: int, words: bool):
+def _cells(width: int, spans: list[int]):
     """The windows of wanted anchors, width offsets together: name tells the bytes that any window of the cell covers, cover those that all the anchor's windows in it cover."""
 
     def run(batches):
-        for (ids, ths, lists), raw, off in _texts_of(batches, 3, words=words):
-            row, w = _wanted(lists, off)
+        for ids, ths, raw, row, w in _wanted(batches):
+            span = spans[w["unit"][0]]
             o1, o2 = w["o1"].astype(np.int64), w["o2"].astype(np.int64)
             n = o2 // width - o1 // width + 1
             own = np.repeat(np.arange(len(n)), n)
@@ -226,97 +241,98 @@ def _cells(width: int, span: int, words: bool):
             low, high = np.maximum(low, o1[own]), np.minimum(high, o2[own])
             cover = mixed(prints.of(at - high, at - low + span) + high.astype(np.uint64) * ODD[2])
             r = pa.array(row[own])
-            values = (w["pos"][own], low.astype(np.int32), high.astype(np.int32), w["n"][own], name.view(np.int64), cover.view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *map(pa.array, values)], names=["id", "th", "pos", "o1", "o2", "n", "name", "cover"])
+            values = (w["unit"][own], w["pos"][own], low.astype(np.int32), high.astype(np.int32), w["n"][own], name.view(np.int64), cover.view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids.take(r), ths.take(r), *map(pa.array, values)], names=["id", "th", "unit", "pos", "o1", "o2", "n", "name", "cover"])
 
     return run
 
 
-def _merged(batches):
+def _joined(lists):
     """Lists of runs, each sorted and with those that meet made one."""
+    parts = np.asarray(lists.offsets).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), np.diff(parts))
+    a, b = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    far = b + row * (apart := int(b.max(initial=0)) + 1)  # ends rise from text to text, so a running maximum stays in its text
+    before = np.concatenate([[-1], np.maximum.accumulate(far)[:-1]])[: len(a)]
+    new = np.flatnonzero(a + row * apart > before)
+    end = np.maximum.reduceat(b, new) if len(new) else b
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(lists)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(end)], names=["a", "b"]))
+
+
+def _merged(batches):
     for batch in batches:
-        lists = batch.column("runs")
-        parts = np.asarray(lists.offsets).astype(np.int64)
-        row = np.repeat(np.arange(len(lists)), np.diff(parts))
-        a, b = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
-        order = np.lexsort((a, row))
-        row, a, b = row[order], a[order], b[order]
-        far = b + row * (apart := int(b.max()) + 1)  # ends rise from text to text, so a running maximum stays in its text
-        before = np.concatenate([[-1], np.maximum.accumulate(far)[:-1]])
-        new = np.flatnonzero(a + row * apart > before)
-        end = np.maximum.reduceat(b, new)
-        counts = np.bincount(row[new], minlength=len(lists))
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(a[new]), pa.array(end)], names=["a", "b"]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), runs], names=["id", "th", "runs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(_joined, batch.columns[2:])], names=batch.schema.names)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", span: int = SPAN, words: int = 0) -> DataFrame:
-    """(id, th, runs): for rows (id and th: xxhash64 of their id and text) with repeats, the disjoint runs [a, b) of bytes that repeated strings of span bytes cover, in order.
+    """(id, th, runs0): for rows (id and th: xxhash64 of their id and text) with repeats, the disjoint runs [a, b) of bytes that repeated strings of span bytes cover, in order.
 
-    With words, the strings have that many words instead, and runs are places in the codes of the text's words."""
-    span, coded, least = (words * WORD, True, 2 * words - 1) if words else (span, False, span)
-    if span < 2 * LEAD:
+    With words, also runs1: the same for passages of that many words, as places in the codes of the text's words. Both come from one pass."""
+    spans = [span, words * WORD] if words else [span]
+    if min(spans) < 2 * LEAD:
         raise ValueError(f"a span has {2 * LEAD} bytes or {2 * LEAD // WORD} words at least")
     small_batches(docs.sparkSession)
-    texts = docs.select(F.xxhash64(col(doc_id)).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).alias("text")).filter(F.octet_length("text") >= least)
-    posts = stored(texts.mapInArrow(_post(span, coded), ANCHOR), "anchors")
-    leads = stored(posts.groupBy("lead").agg(F.sum("m").alias("s")).filter("s > 1").select(F.col("lead").alias("k")), "leads")
+    texts = docs.select(F.xxhash64(col(doc_id)).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).alias("text")).filter(F.octet_length("text") >= min(span, 2 * words - 1 if words else span))
+    posts = stored(texts.mapInArrow(_post(spans), ANCHOR), "anchors")
+    leads = condensed(posts.groupBy("lead").agg(F.sum("m").alias("s")).filter("s > 1").select(F.col("lead").alias("k")), "leads")
     shared = stored(posts.join(small(leads), F.col("lead") == F.col("k"), "left_semi"), "shared")
-    covers = shared.groupBy("lead", "cover").agg(F.sum("m").alias("n"), F.min(F.struct("id", "th", "pos", "o1", "o2", "first")).alias("one"))
-    covers = stored(covers, "covers")
-    twice = stored(covers.filter("n > 1").select(F.col("lead").alias("k"), F.col("cover").alias("c")), "twice")
-    whole = shared.join(small(twice), (F.col("lead") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
+    dropped(posts)
+    place = ("id", "th", "unit", "pos", "o1", "o2")
+    covers = shared.groupBy("lead", "cover").agg(F.sum("m").alias("n"), F.min(F.struct(*place, "first")).alias("one"))
+    covers = condensed(covers, "covers")
+    twice = small(covers.filter("n > 1").select(F.col("lead").alias("k"), F.col("cover").alias("c")))
+    whole = shared.join(twice, (F.col("lead") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
 
     def run(a, b):
         return F.array(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))).alias("runs")
 
-    its_own = run(F.col("pos") - F.col("o2"), F.col("pos") - F.col("o1") + span)
-    runs = whole.select("id", "th", F.when(F.col("m") > 1, F.col("more")).otherwise(its_own).alias("runs"))
+    its_own = run(F.col("pos") - F.col("o2"), F.col("pos") - F.col("o1") + F.when(F.col("unit") == 0, span).otherwise(spans[-1]))
+    runs = whole.select("id", "th", "unit", F.when(F.col("m") > 1, F.col("more")).otherwise(its_own).alias("runs"))
 
-    mixed_leads = stored(covers.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter("m > 1 AND low = 1").select(F.col("lead").alias("k"), "m"), "mixed")
+    mixed_leads = condensed(covers.groupBy("lead").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter("m > 1 AND low = 1").select(F.col("lead").alias("k"), "m"), "mixed")
     open_ = covers.join(small(mixed_leads), F.col("lead") == F.col("k")).select("one.*", "lead", F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("m") > HOT).alias("hot"))
     # Spark samples the splitters of the leading bytes; the number of ranges follows the suffixes
     alone = open_.filter("NOT hot")
     ranged = stored(alone.repartitionByRange(1 + alone.count() // A_RANGE, "first", "lead").withColumn("part", F.spark_partition_id()), "ranged")
 
     def with_text(rows: DataFrame, *fields: str) -> DataFrame:
-        by_text = stored(rows.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*fields)).alias("wanted")), "wanted")
+        by_text = condensed(rows.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*fields)).alias("wanted")), "wanted")
         return texts.join(small(by_text), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "wanted", "text")
 
-    carried = with_text(ranged, "pos", "o1", "o2", "part", "lead", "n").mapInArrow(_carry(span, coded), "id long, th long, pos int, o1 int, o2 int, part int, lead long, n int, bytes binary")
+    own = "id long, th long, unit tinyint"
+    carried = with_text(ranged, "unit", "pos", "o1", "o2", "part", "lead", "n").mapInArrow(_carry(spans), f"{own}, pos int, o1 int, o2 int, part int, lead long, n int, bytes binary")
     n_parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
-    compared = carried.repartitionById(n_parts, F.col("part")).sortWithinPartitions("lead").mapInArrow(_compare(span), RUN)
-    runs = runs.union(compared.select("id", "th", run(F.col("a"), F.col("b"))))
+    compared = carried.repartitionById(n_parts, F.col("part")).sortWithinPartitions("lead").mapInArrow(_compare(spans), f"{own}, a long, b long")
+    runs = runs.union(compared.select("id", "th", "unit", run(F.col("a"), F.col("b"))))
 
-    hot = stored(open_.filter("hot"), "hot")
-    if hot.limit(1).count():
+    hot = open_.filter("hot")
+    if mixed_leads.filter(F.col("m") > HOT).limit(1).count():
         alive = hot.withColumnRenamed("lead", "name")
         for width in CELLS:
-            cells = with_text(alive, "pos", "o1", "o2", "name", "n").mapInArrow(_cells(width, span, coded), "id long, th long, pos int, o1 int, o2 int, n int, name long, cover long")
+            cells = with_text(alive, "unit", "pos", "o1", "o2", "name", "n").mapInArrow(_cells(width, spans), f"{own}, pos int, o1 int, o2 int, n int, name long, cover long")
             cells = stored(cells, "cells")
-            covers = cells.groupBy("name", "cover").agg(F.sum("n").alias("s"), F.min(F.struct("id", "th", "pos", "o1", "o2")).alias("one"))
-            covers = stored(covers, "cell-covers")
-            twice = stored(covers.filter("s > 1").select(F.col("name").alias("k"), F.col("cover").alias("c")), "cell-twice")
-            found = cells.filter("n = 1").join(small(twice), (F.col("name") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
-            runs = runs.union(found.select("id", "th", its_own))
-            several = stored(covers.groupBy("name").agg(F.count("*").alias("m"), F.min("s").alias("low")).filter("m > 1 AND low = 1").select(F.col("name").alias("k")), "cell-mixed")
-            alive = stored(covers.join(small(several), F.col("name") == F.col("k"), "left_semi").select("one.*", "name", F.least("s", F.lit(2)).cast("int").alias("n")), "alive")
-    return runs.groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_merged, f"id long, th long, runs {RUNS}")
+            covers = cells.groupBy("name", "cover").agg(F.sum("n").alias("s"), F.min(F.struct(*place)).alias("one"))
+            covers = condensed(covers, "cell-covers")
+            twice = small(covers.filter("s > 1").select(F.col("name").alias("k"), F.col("cover").alias("c")))
+            found = cells.filter("n = 1").join(twice, (F.col("name") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
+            runs = runs.union(found.select("id", "th", "unit", its_own))
+            several = condensed(covers.groupBy("name").agg(F.count("*").alias("m"), F.min("s").alias("low")).filter("m > 1 AND low = 1").select(F.col("name").alias("k")), "cell-mixed")
+            alive = covers.join(small(several), F.col("name") == F.col("k"), "left_semi").select("one.*", "name", F.least("s", F.lit(2)).cast("int").alias("n"))
+    lists = [F.flatten(F.collect_list(F.when(F.col("unit") == k, F.col("runs")))).alias(f"runs{k}") for k in range(len(spans))]
+    return runs.groupBy("id", "th").agg(*lists).mapInArrow(_merged, "id long, th long" + "".join(f", runs{k} {RUNS}" for k in range(len(spans))))
 
 
 def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text_col: str, words: int = 0) -> tuple[DataFrame, str]:
     """The kept columns of docs, then the runs to cut (with words, those of words too) and the text, as the last column; and its name."""
-    rows, units, text = docs, [0, words] if words else [0], free_names(docs.columns, "text")[0]
-    lists = []
+    text = free_names(docs.columns, "text")[0]
+    names = free_names([*docs.columns, text], "span_id", "span_th", "span_runs0", *["span_runs1"] * bool(words))
     with tidy(docs.sparkSession) as keep:
-        for unit in units:
-            spans = keep(stored(repeated_spans(docs, doc_id, text_col, words=unit), "spans"))
-            names = free_names([*docs.columns, text, *rows.columns], "span_id", "span_th", "span_runs")
-            lists.append(names[2])
-            same = (F.xxhash64(docs[f"`{doc_id}`"]) == F.col(names[0])) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(names[1]))
-            rows = rows.join(small(spans).toDF(*names), same, "left")
-    return rows.select(*[docs[f"`{c}`"] for c in kept], *lists, docs[f"`{text_col}`"].alias(text)), text
+        spans = small(keep(condensed(repeated_spans(docs, doc_id, text_col, words=words), "spans"))).toDF(*names)
+    same = (F.xxhash64(docs[f"`{doc_id}`"]) == F.col(names[0])) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(names[1]))
+    return docs.join(spans, same, "left").select(*[docs[f"`{c}`"] for c in kept], *names[2:], docs[f"`{text_col}`"].alias(text)), text
 
 
 def _gone(lists, raw: np.ndarray, off: np.ndarray, words: bool = False) -> np.ndarray:
