@@ -4,12 +4,13 @@ A text is covered by overlapping chunks of CHUNK bytes. Learned filters slide ov
 embeddings; each filter's largest response in a chunk is kept (max pooling), the mean over chunks
 describes the text, and a logistic layer makes one probability of it.
 
-Fitting uses SAMPLE labelled rows at most (the documented bound), drawn by a hash of the id, and of each PIECES
-chunks spread over the whole text; so what the driver holds is bounded. Scoring reads every byte of
-every text, in slices of bounded size, and needs no shuffle.
+Fitting uses labelled rows up to SAMPLE, and whole texts up to SAMPLE_BYTES together (the documented bounds), taken
+in the order of a hash of their id, with all of their chunks; so what the driver holds is bounded. Filters are
+evaluated at every byte. Scoring reads every byte of every text, in slices of bounded size, and needs no shuffle.
 
 Defined results: null and empty texts are one chunk of padding and get its score; without labels of both
-kinds, scores are the share of label 1 (0.5 without labels); input columns named score are replaced.
+kinds, scores are the share of label 1 (0.5 without labels); a column named score, in any case, is replaced; rows
+of one id train as one text and are scored each for itself; null ids never train; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import byte_view, small_batches, trim
+from orbweave.llm.common import byte_view, col, fields_of, free_names, others, small_batches, trim
 from orbweave.llm.encoder import sliced
 
-CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 6, 2
+CHUNK, OVERLAP, WIDTH, STRIDE = 256, 32, 6, 1
 DIMENSION, FILTERS, PAD = 6, 16, 256
-SAMPLE, PIECES, EPOCHS, BATCH, RATE = 4000, 4, 8, 50, 0.01
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE = 4000, 32 << 20, 8, 50, 0.01
 
 
 @dataclass
@@ -42,10 +43,9 @@ class Network:
         return [np.ascontiguousarray(self.embedding @ self.filters[j], dtype=np.float32) for j in range(WIDTH)]
 
 
-def chunk_starts(n: int, pieces: int = 0) -> np.ndarray:
-    """Starts of the chunks that cover n bytes; with pieces, that many of them, spread over all."""
-    starts = np.arange(0, max(1, n - OVERLAP), CHUNK - OVERLAP)
-    return starts[np.unique(np.linspace(0, len(starts) - 1, pieces).round().astype(int))] if 0 < pieces < len(starts) else starts
+def chunk_starts(n: int) -> np.ndarray:
+    """Starts of the chunks that cover n bytes."""
+    return np.arange(0, max(1, n - OVERLAP), CHUNK - OVERLAP)
 
 
 def chunk_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -69,6 +69,20 @@ def pooled(net: Network, tables: list[np.ndarray], chunks: np.ndarray) -> np.nda
     return out
 
 
+def _strongest(tables: list[np.ndarray], chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk and filter, the place of the largest response (without offset) and that response."""
+    n = (CHUNK - WIDTH) // STRIDE + 1
+    where, top = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS))
+    for a in range(0, len(chunks), 64):
+        c = chunks[a : a + 64]
+        total = tables[0].take(c[:, 0 : n * STRIDE : STRIDE], axis=0)
+        for j in range(1, WIDTH):
+            total += tables[j].take(c[:, j : j + n * STRIDE : STRIDE], axis=0)
+        where[a : a + 64] = total.argmax(axis=1)
+        top[a : a + 64] = np.take_along_axis(total, where[a : a + 64, None, :], axis=1)[:, 0]
+    return where, top
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -95,11 +109,10 @@ def fit(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, seed: int = 7) -
             of = np.repeat(np.arange(len(docs)), [len(rows[d]) for d in docs])
             c = chunks[own]
             window = np.lib.stride_tricks.sliding_window_view(c, WIDTH, axis=1)[:, ::STRIDE][:, :n]
-            emb = params[0][window].reshape(len(own), n, WIDTH * DIMENSION)
             kernel = params[1].reshape(WIDTH * DIMENSION, FILTERS)
-            response = emb @ kernel + params[2]
-            best = response.argmax(axis=1)  # chunks x filters
-            top = np.take_along_axis(response, best[:, None, :], axis=1)[:, 0]
+            now = Network(params[0], params[1], params[2], params[3], 0.0)
+            best, top = _strongest(now.tables(), c)  # chunks x filters: where, and the response there
+            top = top + params[2]
             act = np.maximum(top, 0)
             count = np.bincount(of, minlength=len(docs))[:, None]
             mean = np.zeros((len(docs), FILTERS))
@@ -107,10 +120,12 @@ def fit(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, seed: int = 7) -
             mean /= count
             error = (sigmoid(mean @ params[3] + params[4]) - label[docs]) / len(docs)
             d_act = (error[:, None] * params[3] / count)[of] * (top > 0)
-            picked = np.take_along_axis(emb, best[:, :, None], axis=1)  # chunks x filters x width*dimension
+            bytes_there = window[np.arange(len(own))[:, None], best]  # chunks x filters x width
+            picked = params[0][bytes_there].reshape(len(own), FILTERS, WIDTH * DIMENSION)
             grads = [np.zeros_like(params[0]), np.einsum("cf,cfw->wf", d_act, picked).reshape(params[1].shape), d_act.sum(axis=0), mean.T @ error + 1e-4 * params[3], np.array([error.sum()])]
             d_emb = (d_act[:, :, None] * kernel.T).reshape(-1, DIMENSION)
-            np.add.at(grads[0], np.take_along_axis(window, best[:, :, None], axis=1).reshape(-1), d_emb)
+            for k in range(DIMENSION):
+                grads[0][:, k] = np.bincount(bytes_there.reshape(-1), weights=d_emb[:, k], minlength=PAD + 1)
             step += 1
             for p, g, (m, v) in zip(params, grads, moments):
                 m += 0.1 * (g - m)
@@ -122,46 +137,53 @@ def fit(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, seed: int = 7) -
 
 def held_out(doc_id) -> F.Column:
     """Rows that never train: crc32 of the id as text, mod 5, is 0."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", doc_id: str = "doc_id", text_col: str = "text") -> Network:
     small_batches(docs.sparkSession)
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label_col).alias("_label"))
-    known = known.orderBy(F.xxhash64(F.lit(7), doc_id), doc_id).limit(SAMPLE)  # a top-k in each task, then one
-    texts = docs.select(doc_id, F.col(text_col).alias("_text")).join(F.broadcast(known), doc_id)
+    known = labels.filter(col(label_col).isin(0, 1) & col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(col(doc_id).alias("id")).agg(F.max(col(label_col)).cast("int").alias("label"))
+    known = known.withColumn("h", F.xxhash64(F.lit(7), "id")).orderBy("h", "id").limit(SAMPLE)  # a top-k in each task, then one
+    texts = docs.select(col(doc_id).alias("id"), col(text_col).alias("text"))
+    sizes = texts.join(F.broadcast(known), "id").groupBy("id", "label", "h").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + CHUNK).alias("size")).orderBy("h", "id").collect()
+    left, chosen = SAMPLE_BYTES, []
+    for row in sizes:  # whole texts, as many as the bound holds
+        if row["size"] <= left:
+            left -= row["size"]
+            chosen.append((row["id"], row["label"]))
+    if not chosen:
+        return fit(np.zeros((0, CHUNK), np.int16), np.zeros(0, int), np.zeros(0))
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches):
         for whole in batches:
-            for b in sliced(whole, "_text"):
-                raw, off = byte_view(b.column("_text"))
-                starts = [chunk_starts(e - s, PIECES) + s for s, e in zip(off, off[1:])]
+            for b in sliced(whole, "text"):
+                raw, off = byte_view(b.column("text"))
+                starts = [chunk_starts(e - s) + s for s, e in zip(off, off[1:])]
                 row = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
                 c = chunk_bytes(raw, np.concatenate(starts), off[1:][row])
-                yield pa.RecordBatch.from_arrays([b.column(doc_id).take(pa.array(row)), b.column("_label").take(pa.array(row)), pa.array([x.tobytes() for x in c], pa.binary())], names=["id", "label", "chunk"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("label").take(pa.array(row)), pa.array([x.tobytes() for x in c], pa.binary())], names=["id", "label", "chunk"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    got = texts.mapInArrow(cut, f"id {kind}, label int, chunk binary").toPandas().sort_values(["id", "chunk"], kind="stable")
-    if not len(got):
-        return fit(np.zeros((0, CHUNK), np.int16), np.zeros(0, int), np.zeros(0))
+    sample = docs.sparkSession.createDataFrame(chosen, f"id {kind}, label int")
+    got = texts.join(F.broadcast(sample), "id").mapInArrow(cut, f"id {kind}, label int, chunk binary").toPandas().sort_values(["id", "chunk"], kind="stable")
     ids, doc = np.unique(got["id"].to_numpy(), return_inverse=True)
     label = np.zeros(len(ids))
     label[doc] = got["label"].to_numpy()
     return fit(np.frombuffer(b"".join(got["chunk"]), np.int16).reshape(-1, CHUNK), doc, label)
 
 
-def score(docs: DataFrame, net: Network, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with score; every byte of every text counts."""
+def score(docs: DataFrame, net: Network, text_col: str = "text", keep_text: bool = False, out: str = "score") -> DataFrame:
+    """docs with a score, in column out; every byte of every text counts."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score" and (keep_text or c != text_col)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
+    kept = [c for c in others(docs, out) if keep_text or c != text_col]
+    (text,) = free_names([*docs.columns, out], "text")
+    rows = docs.select(*map(col, kept), col(text_col).alias(text))
 
     def run(batches):
         tables = net.tables()
         for whole in batches:
-            for b in sliced(whole, "_text"):
-                raw, off = byte_view(b.column("_text"))
+            for b in sliced(whole, text):
+                raw, off = byte_view(b.column(text))
                 size = np.diff(off)
                 n = np.maximum(1, -(-(size - OVERLAP) // (CHUNK - OVERLAP)))
                 row = np.repeat(np.arange(len(n)), n)
@@ -171,12 +193,13 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", keep_text: bool
                     mean[a : a + 4096] = pooled(net, tables, chunk_bytes(raw, start[a : a + 4096], off[1:][row[a : a + 4096]]))
                 mean = np.add.reduceat(mean.astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
                 p = sigmoid(mean @ net.weight + net.bias)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(p)], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(p)], names=[*kept, out])
         trim()
 
-    return rows.mapInArrow(run, f"{schema}score double")
+    return rows.mapInArrow(run, f"{fields_of(docs, kept)}`{out}` double")
 
 
-def keep_good(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that score threshold or more, with their own columns."""
-    return score(docs.withColumnRenamed("score", "_own"), net, keep_text=True).filter(F.col("score") >= threshold).drop("score").withColumnRenamed("_own", "score")
+    (out,) = free_names(docs.columns, "score")
+    return score(docs, net, text_col, keep_text=True, out=out).filter(F.col(out) >= threshold).drop(out)
