@@ -12,7 +12,7 @@ spaces are looked up whole in a bounded cache. Decoding joins the tokens of the
 the library does for a vocabulary without a decoder.
 
 Defined results: null and empty texts have no ids and decode to the empty text; other columns pass through;
-columns named ids or decoded are replaced.
+columns named ids or decoded, in any case, are replaced; null ids stay null; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from orbweave.llm.common import small_batches, trim
+from orbweave.llm.common import col, fields_of, free_names, others, small_batches, trim
 from orbweave.llm.encoder import gathered, sliced
 
 CACHED_PIECES = 100_000
@@ -208,15 +207,15 @@ def model(path: str) -> PairIndexBpe:
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: bool = False, round_trip: bool = False) -> DataFrame:
     """docs with ids (array<int>) and, with round_trip, decoded; the text goes unless keep_text."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text_col)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_t")
+    kept = [c for c in others(docs, "ids", "decoded") if keep_text or c != text_col]
+    (t,) = free_names([*docs.columns, "ids", "decoded"], "t")
+    rows = docs.select(*map(col, kept), col(text_col).alias(t))
 
     def run(batches):
         bpe = model(tokenizer)
         for whole in batches:
-            for batch in sliced(whole, "_t", 1 << 20):
-                ids, counts = bpe.encode(batch.column("_t").to_pylist())
+            for batch in sliced(whole, t, 1 << 20):
+                ids, counts = bpe.encode(batch.column(t).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
                 if round_trip:
@@ -225,13 +224,12 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep_text: b
         bpe.clear()  # workers go on to tasks of other stages
         trim()
 
-    return rows.mapInArrow(run, f"{schema}{', ' if kept else ''}ids array<int>" + ", decoded string" * round_trip)
+    return rows.mapInArrow(run, f"{fields_of(docs, kept)}ids array<int>" + ", decoded string" * round_trip)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     """encoded with decoded, the text of its ids."""
-    kept = [c for c in encoded.columns if c != "decoded"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*[F.col(f"`{c}`") for c in kept]).schema)
+    kept = others(encoded, "decoded")
 
     def run(batches):
         bpe = model(tokenizer)
@@ -239,4 +237,4 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
             text = pa.array([bpe.decode(x) if x else "" for x in b.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], text], names=[*kept, "decoded"])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, f"{schema}, decoded string")
+    return encoded.select(*map(col, kept)).mapInArrow(run, f"{fields_of(encoded, kept)}decoded string")

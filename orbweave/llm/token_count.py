@@ -7,7 +7,9 @@ first character ("start", the default) or of its last ("end"); n_crossing tells
 that reach beyond it. Counts of a document's sections add up to the count of the whole document.
 
 A section ends after its separator. Null or empty texts have one section, empty; a separator at the very end
-opens no further section. Documents of any length: no task holds more than a slice of texts.
+opens no further section. Rows of one id are counted each for itself; ids may be null and of any type; other
+columns are left out; an empty table gives an empty one. Documents of any length: no task holds more than a slice
+of texts.
 """
 
 from __future__ import annotations
@@ -15,9 +17,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from orbweave.llm.common import byte_view, small_batches
+from orbweave.llm.common import byte_view, col, small_batches
 from orbweave.llm.encoder import encoder, sliced
 
 SCHEMA = "section int, start long, upto long, n_tokens long, n_crossing long"
@@ -61,5 +62,5 @@ def section_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(doc_id).alias("id"), col(text_col).alias("text"))
     return rows.mapInArrow(count, f"id {kind}, {SCHEMA}").withColumnRenamed("id", doc_id)
