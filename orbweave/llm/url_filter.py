@@ -11,7 +11,7 @@ a hash of the whole row, so one host spreads evenly, and only the interval ends
 copied to each salt. No Python runs on executors.
 
 Defined results: null URLs and URLs without '://' have empty host and path and get the default verdict;
-equal rules count once; of rules of one length the one with the longer host wins, then 'block';
+equal rules count once and rules with a null don't count; of rules of one length the one with the longer host wins, then 'block';
 an empty table gives an empty table; input columns named as an output are replaced.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ascii_lower, parts_of
+from orbweave.llm.common import ascii_lower, col, others, parts_of
 
 #: host, path, verdict
 Rule = tuple[str, str, str]
@@ -34,10 +34,15 @@ def _key(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "/"), F.lit("/"))
 
 
-def _boundaries(spark, rules: Sequence[Rule]) -> DataFrame:
-    """(key, stack): the rules open from each interval end on, shortest first."""
+def rule_table(spark, rules: Sequence[Rule]) -> DataFrame:
+    """A list of rules as a table (host, path, verdict): literals of the plan, so a short list."""
     given = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
-    rows = spark.range(1).select(F.inline(given)).select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").distinct()
+    return spark.range(1).select(F.inline(given.cast("array<struct<host:string,path:string,verdict:string>>")))
+
+
+def _boundaries(rules: DataFrame) -> DataFrame:
+    """(key, stack): the rules open from each interval end on, shortest first."""
+    rows = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").filter("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").distinct()
     rows = rows.withColumn("key", _key(F.col("host")))
     keys = rows.select("key").distinct()
     labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), "/", -1)
@@ -52,19 +57,19 @@ def _boundaries(spark, rules: Sequence[Rule]) -> DataFrame:
     return starts.union(ends).join(rows.select("key", entry.alias("entry")), "key", "left").groupBy("at").agg(F.sort_array(F.collect_list("entry")).cast(RULE_TYPE).alias("stack")).withColumnRenamed("at", "key")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule (null if none fits) and verdict. rules: a list that the driver holds."""
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """pages with host, path, rule (null if none fits) and verdict. rules: a table (host, path, verdict) of any size, or a short list; only their intervals' ends are copied to each salt."""
     spark = pages.sparkSession
-    url = F.col(url_col)
-    rest = F.expr(f"CASE WHEN instr(`{url_col}`, '://') > 0 THEN substring(`{url_col}`, instr(`{url_col}`, '://') + 3) ELSE '' END")
-    kept = [c for c in pages.columns if c.lower() not in OUTPUTS]
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(1).alias("_"))
+    url = col(url_col)
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
+    kept = others(pages, *OUTPUTS)
+    row = F.struct(*map(col, kept)) if kept else F.struct(F.lit(1).alias("_"))
     split = pages.select(row.alias("_row"), F.coalesce(F.when(url.isNotNull(), rest), F.lit("")).alias("_rest"))
     split = split.select("_row", ascii_lower(F.regexp_extract("_rest", r"^([^/?#]*)", 1)).alias("_host"), F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1).alias("_path"))
-    if rules:
+    if isinstance(rules, DataFrame) or rules:
         n = parts_of(spark)
         probes = split.select(F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int").alias("_salt"), _key(F.col("_host")).alias("_key"), F.lit(1).alias("_kind"), "_row", "_host", "_path", F.lit(None).cast(RULE_TYPE).alias("_open"))
-        ends = _boundaries(spark, rules).select(
+        ends = _boundaries(rules if isinstance(rules, DataFrame) else rule_table(spark, rules)).select(
             F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt"), F.col("key").alias("_key"), F.lit(0).alias("_kind"), F.lit(None).cast(probes.schema["_row"].dataType).alias("_row"), F.lit(None).cast("string").alias("_host"), F.lit(None).cast("string").alias("_path"), F.col("stack").alias("_open")
         )
         sweep = Window.partitionBy("_salt").orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
