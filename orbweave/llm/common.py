@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +33,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class _Made(threading.local):
-    """Folders that this thread's operators have stored tables in, oldest first."""
+    """Folders that this thread's operators have stored tables in, oldest first, and the tables that they hold."""
 
     def __init__(self):
         self.paths: list[str] = []
+        self.frames: list[DataFrame] = []
 
 
 _MADE = _Made()
-FEW = 4
+FEW = 2
 
 
 def condensed(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +59,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks for several uses within an operator, with its lineage: what a lost executor held is computed again. For large tables that an operator reads right after making them; nothing that it returns may read them, for tidy() lets go of them."""
+    _MADE.frames.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
 def _folder(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
@@ -78,7 +86,7 @@ class tidy:
         self.spark, self.kept = spark, set()
 
     def __enter__(self):
-        self.first = set(_MADE.paths)
+        self.first, self.frames = set(_MADE.paths), len(_MADE.frames)
         return self.keep
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -86,6 +94,9 @@ class tidy:
         return df
 
     def __exit__(self, *_):
+        for df in _MADE.frames[self.frames :]:
+            df.unpersist()
+        del _MADE.frames[self.frames :]
         for p in [p for p in _MADE.paths if p not in self.first and p not in self.kept]:
             fs, path = _folder(self.spark, p)
             fs.delete(path, True)
@@ -93,7 +104,10 @@ class tidy:
 
 
 def clear_stored(spark: SparkSession) -> None:
-    """Deletes all tables that this thread's operators have stored; results that weren't written yet can't be read any more."""
+    """Lets go of all held tables and deletes all tables that this thread's operators have stored; results that weren't written yet can't be read any more."""
+    for df in _MADE.frames:
+        df.unpersist()
+    _MADE.frames.clear()
     for p in list(_MADE.paths):
         fs, path = _folder(spark, p)
         fs.delete(path, True)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ODD, Prints, byte_view, col, condensed, dropped, fields_of, free_names, mixed, others, small, small_batches, stored, tidy, trim
+from orbweave.llm.common import ODD, Prints, byte_view, col, condensed, fields_of, free_names, held, mixed, others, small, small_batches, tidy, trim
 from orbweave.llm.encoder import sliced
 
 SPAN, LEAD, HOT = 400, 64, 1000
@@ -276,13 +276,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
         raise ValueError(f"a span has {2 * LEAD} bytes or {2 * LEAD // WORD} words at least")
     small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(col(doc_id)).alias("id"), F.xxhash64(col(text_col)).alias("th"), col(text_col).alias("text")).filter(F.octet_length("text") >= min(span, 2 * words - 1 if words else span))
-    posts = stored(texts.mapInArrow(_post(spans), ANCHOR), "anchors")
+    posts = held(texts.mapInArrow(_post(spans), ANCHOR))
     leads = condensed(posts.groupBy("lead").agg(F.sum("m").alias("s")).filter("s > 1").select(F.col("lead").alias("k")), "leads")
-    shared = stored(posts.join(small(leads), F.col("lead") == F.col("k"), "left_semi"), "shared")
-    dropped(posts)
+    shared = held(posts.join(small(leads), F.col("lead") == F.col("k"), "left_semi"))
     place = ("id", "th", "unit", "pos", "o1", "o2")
     covers = shared.groupBy("lead", "cover").agg(F.sum("m").alias("n"), F.min(F.struct(*place, "first")).alias("one"))
     covers = condensed(covers, "covers")
+    posts.unpersist()  # shared holds what is left of them
     twice = small(covers.filter("n > 1").select(F.col("lead").alias("k"), F.col("cover").alias("c")))
     whole = shared.join(twice, (F.col("lead") == F.col("k")) & (F.col("cover") == F.col("c")), "left_semi")
 
@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
     open_ = covers.join(small(mixed_leads), F.col("lead") == F.col("k")).select("one.*", "lead", F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("m") > HOT).alias("hot"))
     # Spark samples the splitters of the leading bytes; the number of ranges follows the suffixes
     alone = open_.filter("NOT hot")
-    ranged = stored(alone.repartitionByRange(1 + alone.count() // A_RANGE, "first", "lead").withColumn("part", F.spark_partition_id()), "ranged")
+    ranged = held(alone.repartitionByRange(1 + alone.count() // A_RANGE, "first", "lead").withColumn("part", F.spark_partition_id()))
 
     def with_text(rows: DataFrame, *fields: str) -> DataFrame:
         by_text = condensed(rows.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*fields)).alias("wanted")), "wanted")
@@ -313,7 +313,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
         alive = hot.withColumnRenamed("lead", "name")
         for width in CELLS:
             cells = with_text(alive, "unit", "pos", "o1", "o2", "name", "n").mapInArrow(_cells(width, spans), f"{own}, pos int, o1 int, o2 int, n int, name long, cover long")
-            cells = stored(cells, "cells")
+            cells = held(cells)
             covers = cells.groupBy("name", "cover").agg(F.sum("n").alias("s"), F.min(F.struct(*place)).alias("one"))
             covers = condensed(covers, "cell-covers")
             twice = small(covers.filter("s > 1").select(F.col("name").alias("k"), F.col("cover").alias("c")))
