@@ -25,6 +25,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return mirrored(edges).groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
+def labelled_adjacency(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label, nbrs: array of (id, label))."""
+    l = labels.select("id", "label")
+    e = mirrored(edges).join(l.toDF("dst", "ld"), "dst").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), F.col("ld").alias("label")))).alias("nbrs"))
+    return e.join(l, "id").select("id", "label", "nbrs")
+
+
 def trimmed(adj: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
     """Neighbours for which keep(id, neighbour) holds; a column expression, so it runs before any shuffle."""
     return adj.withColumn("nbrs", F.filter("nbrs", lambda n: keep(F.col("id"), n)))
@@ -56,6 +63,13 @@ def ego_edges(edges: DataFrame) -> DataFrame:
     return x.join(y, F.col("x.u") == F.col("y.u")).filter("x.v < y.v").join(z, (F.col("z.u") == F.col("x.v")) & (F.col("z.v") == F.col("y.v"))).select(F.col("x.u").alias("root"), F.col("z.u").alias("u"), F.col("z.v").alias("v"))
 
 
+def relabelled(edges: DataFrame, codes: DataFrame) -> DataFrame:
+    """(u, v) with the new ids of codes (id, newid)."""
+    c = codes.select("id", "newid")
+    e = edges.join(c.toDF("u", "nu"), "u").join(c.toDF("v", "nv"), "v")
+    return e.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
+
+
 def recoded(edges: DataFrame) -> DataFrame:
     """(id, newid): the vertex of greatest degree is 0, its neighbours come last, all by (degree, id).
 

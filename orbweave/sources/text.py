@@ -41,6 +41,13 @@ def write_adjacency(adjacency: DataFrame, path: str) -> None:
     adjacency.select(F.concat(F.col("id"), F.lit(" "), F.size("nbrs"), F.lit("\t"), F.array_join(F.col("nbrs").cast("array<string>"), " "))).write.mode("overwrite").text(path)
 
 
+def write_labelled(adjacency: DataFrame, path: str, has_degree: bool = False) -> None:
+    """Lines 'id label<tab>[degree ]n1 l1 n2 l2 ...' from (id, label, nbrs: array of (id, label))."""
+    parts = F.transform("nbrs", lambda n: F.concat(n["id"].cast("string"), F.lit(" "), n["label"]))
+    degree = F.concat(F.size("nbrs"), F.lit(" ")) if has_degree else F.lit("")
+    adjacency.select(F.concat(F.col("id"), F.lit(" "), "label", F.lit("\t"), degree, F.array_join(parts, " "))).write.mode("overwrite").text(path)
+
+
 def write_sets(sets: DataFrame, path: str, with_size: bool = True) -> None:
     """Lines 'size v1 v2 ...', or without the size."""
     text = F.array_join(F.col("vset").cast("array<string>"), " ")
