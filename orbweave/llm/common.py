@@ -267,6 +267,8 @@ def _forests(batches):
             kept, n = [], 0
     if kept:
         yield out()
+    kept.clear()
+    trim()
 
 
 STEPS = 59

@@ -206,10 +206,10 @@ def _compare(spans: list[int]):
             yield pa.RecordBatch.from_arrays([*[rows.column(k).take(r) for k in ("id", "th", "unit")], pa.array(a), pa.array(b)], names=["id", "th", "unit", "a", "b"])
 
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                held.append(whole.slice(a, 500))
+            for a in range(0, whole.num_rows, 200):
+                held.append(whole.slice(a, 200))
                 size += held[-1].column("bytes").nbytes
-                if size > 1 << 20:
+                if size > 1 << 18:
                     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     lead = np.asarray(rows.column("lead"))
                     other = np.flatnonzero(lead != lead[-1])
@@ -221,6 +221,7 @@ def _compare(spans: list[int]):
                         held = [rows]
         if held:
             yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        trim()
 
     return run
 
@@ -265,6 +266,7 @@ def _joined(lists):
 def _merged(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(_joined, batch.columns[2:])], names=batch.schema.names)
+    trim()
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", span: int = SPAN, words: int = 0) -> DataFrame:
