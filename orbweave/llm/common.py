@@ -250,7 +250,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def _forests(batches):
+def forests(batches):
     """Replaces the edges of a run of batches by a spanning forest of them."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
@@ -271,21 +271,27 @@ def _forests(batches):
     trim()
 
 
+def thinned(run):
+    """run, a function of batches that yields edges, with forests() in the same worker: as two steps of mapInArrow, a task would hold two workers at once, and an executor keeps as many as it ever had."""
+    return lambda batches: forests(run(batches))
+
+
 STEPS = 59
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, thin: bool = True) -> DataFrame:
     """(node, root) for each node of edges (a, b: long): root is the least node connected with it.
 
     Alternating large-star and small-star steps over the edges, each step's edges stored in the shared folder
-    until they stay the same; an error if STEPS steps don't settle them. Tasks first replace their edges by spanning forests, so hubs shrink before
-    they are shuffled; nothing but a count and a checksum reaches the driver.
+    until they stay the same; an error if STEPS steps don't settle them. With thin, tasks first replace their edges by spanning forests, so hubs
+    shrink before they are shuffled; without, what made the edges has done so. Nothing but a count and a checksum reaches the driver.
     """
     def kept(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
         df = condensed(df, f"{name}-{step}")
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    current, mark = kept(edges.select("a", "b").filter("a <> b").mapInArrow(_forests, "a long, b long").distinct(), 0)
+    edges = edges.select("a", "b").filter("a <> b")
+    current, mark = kept((edges.mapInArrow(forests, "a long, b long") if thin else edges).distinct(), 0)
     for step in range(1, STEPS + 1):
         if not mark[0]:
             break
