@@ -114,6 +114,32 @@ def test_jaccard(spark):
     assert jaccard.similar_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def shuffled_bytes(spark):
+    """What all stages so far have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gate = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_jaccard_moves_less_than_its_texts(spark):
+    """Steps that one set alone has aren't posted, however many partitions there are; copies and an id with two texts don't hide links."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{rng.randrange(10**6):x}" for _ in range(600 if i < 10 else 13_000))) for i in range(60)]  # longer than those that common_steps() draws
+    rows += [(600 + i, rows[i][1] + " x") for i in range(5)] + [(610, rows[7][1]), (610, rows[9][1] + " y"), (611, rows[7][1]), (None, rows[8][1])]
+    df = frame(spark, rows).cache()
+    df.count()
+    before, parts = shuffled_bytes(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_groups(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    linked = {i: i - 600 for i in range(600, 605)} | {611: 7}
+    assert got == {(i, linked.get(i, i)) for i, _ in rows if i not in (None, 610)} | {(610, 7), (610, 9), (None, 8)}
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t in rows) / 2
+
+
 def test_components_settle_or_raise(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
     assert {tuple(x) for x in common.components(path, "path").collect()} == {(i, 0) for i in range(41)}
