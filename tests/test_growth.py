@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orbweave import queries
 from orbweave.functions.state import pieces, stored
 from orbweave.operators import graph
+from orbweave.sources import text
 
 
 def plan_of(df):
@@ -57,3 +58,14 @@ def test_ends_are_dealt_out_before_they_are_counted(spark):
     for made in (graph.degrees(edges), graph.adjacency(edges)):
         plan = plan_of(made)
         assert plan.rindex("Aggregate") < plan.index("REPARTITION_BY_NUM")  # top first: both steps of the count come after the shuffle
+
+
+def test_labelled_lines_are_split_once(spark, tables, tmp_path):
+    """Where the lists are exploded, Spark's own filter by their size split the line again for each entry of it."""
+    (tmp_path / "l").write_text("1 a\t2 c 3 b 4\n5\tb\n")
+    (tmp_path / "d").write_text("1 a\t2 2 c 3 b 4\n5\tb\n6 c 0\n")
+    for name, rest in (("l", []), ("d", [(6, "c", [])])):
+        read = text.read_labelled(spark, str(tmp_path / name), has_degree=name == "d")
+        assert [(r["id"], r["label"], [tuple(n) for n in r["nbrs"]]) for r in read.orderBy("id").collect()] == [(1, "a", [(2, "c"), (3, "b")]), (5, "b", []), *rest]
+        plan = plan_of(read.select("id", F.explode("nbrs").alias("n")))
+        assert not re.search(r"lambdafunction\([^\n]*split\(", plan)
