@@ -69,3 +69,20 @@ def test_labelled_lines_are_split_once(spark, tables, tmp_path):
         assert [(r["id"], r["label"], [tuple(n) for n in r["nbrs"]]) for r in read.orderBy("id").collect()] == [(1, "a", [(2, "c"), (3, "b")]), (5, "b", []), *rest]
         plan = plan_of(read.select("id", F.explode("nbrs").alias("n")))
         assert not re.search(r"lambdafunction\([^\n]*split\(", plan)
+
+
+def test_maximal_sets_broadcasts_nothing(spark, tables):
+    """Tables of all sets went through the driver where the files of the lines looked small."""
+    made = queries.queries()["maximal_sets"](spark, tables)
+    assert "Broadcast" not in plan_of(made)
+    of = {}
+    for o, k in spark.read.parquet(f"{tables}/lineitem.parquet").collect():
+        of.setdefault(o, set()).add(k)
+    sets = {frozenset(s) for s in of.values()}
+    assert {r["vset"] for r in made.collect()} == {" ".join(map(str, sorted(s))) for s in sets if not any(s < t for t in sets)}
+
+
+def test_quasi_clique_check_without_any(spark, tmp_path):
+    """No quasi-clique at all: SQL counts 0, the query gave no row."""
+    spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2)], "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in queries.queries()["quasi_clique_check"](spark, str(tmp_path)).collect()] == [(True, 0)]
