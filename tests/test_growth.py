@@ -1,14 +1,16 @@
 """What grows with the tables: shares of tasks, broadcasts and costs that small results don't show."""
 
 import os
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orbweave import queries
 from orbweave.functions.state import pieces, stored
-from orbweave.operators import graph
+from orbweave.operators import cores, graph
 from orbweave.sources import text
 
 
@@ -86,3 +88,33 @@ def test_quasi_clique_check_without_any(spark, tmp_path):
     """No quasi-clique at all: SQL counts 0, the query gave no row."""
     spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2)], "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in queries.queries()["quasi_clique_check"](spark, str(tmp_path)).collect()] == [(True, 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_core_numbers_over_blocks(spark, monkeypatch, seed):
+    """Values cross the bounds of blocks, and few rounds settle a long path, which took a round a step before."""
+    r = random.Random(seed)
+    monkeypatch.setattr(cores, "BLOCK", 40)
+    monkeypatch.setattr(cores, "LEAST", 40)
+    edges = {tuple(sorted(r.sample(range(40), 2))) for _ in range(30 + 150 * seed)} | {(k, k + 1) for k in range(100, 140)} | {(5, 2**40)}
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    expected, left, k = {}, dict(near), 0
+    while left:
+        k += 1
+        while gone := {v for v, n in left.items() if len(n & set(left)) < k}:
+            expected |= dict.fromkeys(gone, k - 1)
+            left = {v: n for v, n in left.items() if v not in gone}
+    e = spark.createDataFrame([(r.sample(e, 2)) for e in edges], "src long, dst long")
+    assert dict(map(tuple, cores.core_numbers(graph.normalised(e)).collect())) == expected
+
+
+def test_a_block_settles_without_others():
+    """A path of 2,000 in one block needs no round of the cluster."""
+    n = 2000
+    near = np.array([x for v in range(n) for x in (v - 1, v + 1) if 0 <= x < n], np.int32)
+    core = np.r_[1, np.full(n - 2, 2), 1].astype(np.int32)
+    cores.settle(0, np.r_[0, np.cumsum(core, dtype=np.int64)], near, core)
+    assert (core == 1).all()
