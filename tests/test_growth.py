@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orbweave import queries
 from orbweave.functions.state import pieces, stored
-from orbweave.operators import cores, graph
+from orbweave.operators import blocks, cores, graph, triangles
 from orbweave.sources import text
 
 
@@ -94,8 +94,8 @@ def test_quasi_clique_check_without_any(spark, tmp_path):
 def test_core_numbers_over_blocks(spark, monkeypatch, seed):
     """Values cross the bounds of blocks, and few rounds settle a long path, which took a round a step before."""
     r = random.Random(seed)
-    monkeypatch.setattr(cores, "BLOCK", 40)
-    monkeypatch.setattr(cores, "LEAST", 40)
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    monkeypatch.setattr(blocks, "LEAST", 40)
     edges = {tuple(sorted(r.sample(range(40), 2))) for _ in range(30 + 150 * seed)} | {(k, k + 1) for k in range(100, 140)} | {(5, 2**40)}
     near = {}
     for u, v in edges:
@@ -118,3 +118,18 @@ def test_a_block_settles_without_others():
     core = np.r_[1, np.full(n - 2, 2), 1].astype(np.int32)
     cores.settle(0, np.r_[0, np.cumsum(core, dtype=np.int64)], near, core)
     assert (core == 1).all()
+
+
+def test_triangles_over_blocks(spark, monkeypatch):
+    """Lists are closed in other blocks than their own, once for each block instead of once for each member; some blocks have no lists."""
+    r = random.Random(4)
+    monkeypatch.setattr(blocks, "BLOCK", 30)
+    monkeypatch.setattr(blocks, "LEAST", 30)
+    edges = {tuple(sorted(r.sample(range(40), 2))) for _ in range(260)} | {(k, 100 + k % 3) for k in range(40)} | {(39, 2**40)}
+    near = {v: {x for e in edges if v in e for x in e if x != v} for e in edges for v in e}
+    expected = sorted((a, b, c) for a, b in edges for c in near[a] & near[b] if c > b)
+    e = stored(spark.createDataFrame(sorted(edges), "u long, v long"), "edges")
+    assert sorted(map(tuple, triangles.triangles(e).collect())) == expected
+    plan = plan_of(triangles.triangle_count(e))
+    assert "Join" not in plan and "array_intersect" not in plan
+    assert sorted(map(tuple, graph.ego_edges(e).collect())) == expected
