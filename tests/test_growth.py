@@ -133,3 +133,13 @@ def test_triangles_over_blocks(spark, monkeypatch):
     plan = plan_of(triangles.triangle_count(e))
     assert "Join" not in plan and "array_intersect" not in plan
     assert sorted(map(tuple, graph.ego_edges(e).collect())) == expected
+
+
+def test_nothing_to_peel_writes_nothing(spark, monkeypatch):
+    """A graph that is its own core was written twice, and all its edges were moved to look for vertices with few within two steps."""
+    e = stored(spark.createDataFrame([(u, v) for u in range(9) for v in range(u + 1, 9)], "u long, v long"), "edges")
+    names, write = [], cores.stored
+    monkeypatch.setattr(cores, "stored", lambda df, name: names.append(name) or write(df, name))
+    assert cores.k_core_two_hop(e, 3, 5).count() == 36 and "core" not in names and "low" not in names
+    tail = stored(e.union(spark.createDataFrame([(8, 20), (20, 21)], e.schema)), "edges")
+    assert cores.k_core_two_hop(tail, 3, 5).count() == 36 and tail.count() == 38
